@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import incremental_queries
+from . import incremental_queries, retrieval_queries
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (incremental_queries,):
+for _module in (incremental_queries, retrieval_queries):
     QUERIES.update(_module.QUERIES)
     SQL.update(_module.SQL)
 

@@ -1 +1,16 @@
+"""Readers and writers of the collection's file formats, all with explicit schemas."""
 
+from .formats import (  # noqa: F401
+    read_document_table,
+    read_documents_jsonl,
+    read_mediawiki_categories,
+    read_mediawiki_members,
+    read_mediawiki_pages,
+    read_qrels_json,
+    read_zipf_csv,
+    write_document_table,
+    write_documents_jsonl,
+    write_metadata,
+    write_qrels_json,
+    write_zipf_csv,
+)
