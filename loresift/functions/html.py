@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Elements and classes that are no text of the page.
 DROPPED = frozenset("script style noscript nav footer header".split())
@@ -88,7 +89,7 @@ def clean(page: str | None) -> tuple[str, str]:
     return title, re.sub(r"\s+", " ", " ".join(parser.pieces)).strip()
 
 
-@F.pandas_udf("struct<title: string, text: string>")
+@F.pandas_udf(T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType())]))
 def clean_html(pages: pd.Series) -> pd.DataFrame:
     """``struct(title, text)`` of html; empty strings for null."""
     return pd.DataFrame([clean(p) for p in pages], columns=["title", "text"])

@@ -7,6 +7,7 @@ from urllib.parse import parse_qsl, urlencode
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: scheme, authority, path, query, fragment.
 URI = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -49,7 +50,7 @@ def normalize_export(url: Column) -> Column:
     return F.when(trimmed == "", F.lit("")).otherwise(_joined(F.lower(part(trimmed, 1)), F.lower(part(trimmed, 2)), short))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _sorted_query(query: pd.Series) -> pd.Series:
     """Query string with its keys in order, repeated keys together, blanks kept, encoded anew."""
 

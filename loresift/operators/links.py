@@ -14,6 +14,18 @@ _NEXT = r"""(?is)<a\s[^>]*class\s*=\s*["'][^"']*\bmw-nextlink\b[^>]*>"""
 _LINK = r"(?is)<a\s[^>]*>.*?</a>"
 
 
+def _step(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with a computed column that later filters see as it is: the optimizer moves no
+    filter below a generator, so the value is computed once and not again in every predicate."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _links(found: DataFrame) -> DataFrame:
+    """``url, link`` from ``url, href``."""
+    full = _step(found, "full_url", absolute(F.col("href"), F.col("url")))
+    return _step(full, "link", normalize_crawl(F.col("full_url"))).select("url", "link")
+
+
 def absolute(href: Column, base: Column) -> Column:
     """``/x`` on the base's host (over https), ``http...`` as it is, else beside the base's last segment."""
     folder = F.regexp_replace(part(base, 3), "[^/]*$", "")
@@ -24,23 +36,20 @@ def absolute(href: Column, base: Column) -> Column:
 def page_links(pages: DataFrame) -> DataFrame:
     """``url, href``: every anchor's address, trimmed, without empty, fragment and script ones."""
     found = pages.where(F.col("html").isNotNull()).select("url", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1)))).alias("href"))
-    href = F.trim(F.replace(F.col("href"), F.lit("&amp;"), F.lit("&")))
-    return found.select("url", href.alias("href")).where((F.col("href") != "") & ~F.col("href").startswith("#") & ~F.col("href").startswith("javascript:"))
+    plain = found.select("url", F.trim(F.replace(F.col("href"), F.lit("&amp;"), F.lit("&"))).alias("href"))
+    return plain.where((F.col("href") != "") & ~F.col("href").startswith("#") & ~F.col("href").startswith("javascript:"))
 
 
 def extract_links(pages: DataFrame, allowed: list[str] | None = None) -> DataFrame:
     """``url, link``: distinct normalised links to content on valid hosts."""
-    target = normalize_crawl(absolute(F.col("href"), F.col("url")))
-    links = page_links(pages).select("url", target.alias("link"))
-    return links.where((F.col("link") != "") & is_valid(F.col("link"), allowed) & is_content(F.col("link"))).distinct()
+    return _links(page_links(pages)).where((F.col("link") != "") & is_valid(F.col("link"), allowed) & is_content(F.col("link"))).distinct()
 
 
 def category_links(pages: DataFrame, allowed: list[str] | None = None) -> DataFrame:
     """``url, link``: links to category pages."""
     href = F.col("href")
     kept = page_links(pages).where(href.startswith("/wiki/Category:") | (href.contains("wiki/Category:") & href.startswith("http")))
-    links = kept.select("url", normalize_crawl(absolute(href, F.col("url"))).alias("link"))
-    return links.where(is_valid(F.col("link"), allowed)).distinct()
+    return _links(kept).where(is_valid(F.col("link"), allowed)).distinct()
 
 
 def article_links(pages: DataFrame, allowed: list[str] | None = None) -> DataFrame:
@@ -50,10 +59,10 @@ def article_links(pages: DataFrame, allowed: list[str] | None = None) -> DataFra
     modern = F.regexp_extract("html", members, 0)
     area = F.when(modern != "", modern).otherwise(F.regexp_extract("html", listed, 0))
     href = F.col("href")
-    found = page_links(pages.select("url", area.alias("html"), (modern != "").alias("any")).where("html <> ''").select("url", "html"))
+    areas = _step(pages.where(F.col("html").contains("categor")), "area", area).where("area <> ''")
+    found = page_links(areas.select("url", F.col("area").alias("html")))
     path = F.regexp_extract(href, r"^(?:https?://[^/]*.*?)?/wiki/(.*)$", 1)
-    links = found.where((path != "") & ~path.contains(":")).select("url", normalize_crawl(absolute(href, F.col("url"))).alias("link"))
-    return links.where(is_valid(F.col("link"), allowed)).distinct()
+    return _links(found.where((path != "") & ~path.contains(":"))).where(is_valid(F.col("link"), allowed)).distinct()
 
 
 def next_page(page: Column, base: Column) -> Column:

@@ -15,7 +15,14 @@ def ingest_stream(spark: SparkSession, source: str, store: PageStore, checkpoint
     The checkpoint remembers which files were read; the store remembers the last batch it committed,
     so a batch delivered again after a failure changes nothing.
     """
-    pages = spark.readStream.schema(schemas.PAGE).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    reader = spark.readStream.schema(schemas.PAGE).option("maxFilesPerTrigger", files_per_batch)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).isFile():
+        # a stream reads folders; one file is its folder seen through a filter
+        folder, name = source.rsplit("/", 1)
+        pages = reader.option("pathGlobFilter", name).parquet(folder)
+    else:
+        pages = reader.parquet(source)
 
     def merge(batch: DataFrame, number: int) -> None:
         store.upsert(batch, number)
