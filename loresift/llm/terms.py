@@ -129,7 +129,9 @@ def term_counts(documents: DataFrame, text: str = "text", min_chars: int = 2, bi
 
 def _file_rows(spark, path: str, keys: list[str]) -> list[tuple[str, str, int]]:
     """``(folder, name, rows)`` of every partition of a written level: a handful of rows."""
-    found = spark.read.parquet(path).groupBy(*keys).count().collect()
+    kinds = {"radix": "int", "prefix": "string"}
+    schema = ", ".join([PARTIAL, *(f"{k} {kinds[k]}" for k in keys)])
+    found = spark.read.schema(schema).parquet(path).groupBy(*keys).count().collect()
     result = []
     for row in found:
         name = "/".join(f"{k}={row[k]}" for k in keys)
