@@ -16,7 +16,7 @@ def site(k, body):
     )
 
 
-BODIES = [f"<h2>History</h2><p>Text {'abcdefghijklmnopqrstuvwxyz'[k % 26]}{k} &amp; <b>bo</b>ld.</p><ul><li>item of {k}</li></ul>" for k in range(40)]
+BODIES = [f"<h2>History</h2><p>Text {'abcdefghijklmnopqrstuvwxyz'[k % 26]}{k} &amp; <b>bo</b>ld.</p><ul><li>item of {chr(97 + k // 20)}{chr(97 + k % 20)}vor</li></ul>" for k in range(40)]
 
 
 @pytest.fixture(scope="module")
@@ -39,7 +39,7 @@ def test_main_body(spark, pages):
     assert set(texts) == {*map(str, range(41)), "42", "43", "44"}
     for k in range(40):
         assert f"Text {'abcdefghijklmnopqrstuvwxyz'[k % 26]}{k} & bold." in texts[str(k)]
-        assert f"item of {k}" in texts[str(k)]
+        assert f"item of {chr(97 + k // 20)}{chr(97 + k % 20)}vor" in texts[str(k)]
         assert "Remark" not in texts[str(k)] and "Viewed" not in texts[str(k)] and "Imprint" not in texts[str(k)] and "Home" not in texts[str(k)]
     assert "This page does not exist." in texts["40"]
     assert "Alone" in texts["42"] and "Home" in texts["42"]  # one page shows no boilerplate
