@@ -7,6 +7,7 @@ after a consonant. A stem's shape is a prefix of its word's shape, the measure i
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Suffixes and replacements of steps 2 and 3, suffixes of step 4, longest first where
@@ -19,6 +20,7 @@ STEP2 = [
 STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
 STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
 
+_SHAPES = {ord(c): "1" if c in "aeiou" else "0" for c in "abcdefghijklmnopqrstuvwxz'"}
 _CONSONANTS = "bcdfghjklmnpqrstvwxzY''"
 
 
@@ -95,20 +97,35 @@ def stem_sql(source: str, dialect: str) -> str:
     return f"SELECT token, w AS stem FROM ({query}) AS s UNION ALL SELECT token, token AS stem FROM {source} WHERE length(token) <= 2"
 
 
-def stems(vocabulary: DataFrame) -> DataFrame:
-    """``token, stem`` of a DataFrame of distinct tokens."""
+def stems_by_sql(vocabulary: DataFrame) -> DataFrame:
+    """``token, stem`` of a DataFrame of distinct tokens, by the generated expressions.
+
+    Exact, but the nested CASEs exceed what the JVM compiles, so ``stems`` is the faster one.
+    """
     return vocabulary.sparkSession.sql(stem_sql("{words}", "spark"), words=vocabulary.select("token"))
 
 
+def stems(vocabulary: DataFrame) -> DataFrame:
+    """``token, stem`` of a DataFrame of distinct tokens, in Arrow batches."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("token"), pa.array([stem(t) for t in batch.column("token").to_pylist()], pa.string())], names=["token", "stem"])
+
+    return vocabulary.select("token").mapInArrow(run, "token string, stem string")
+
+
 def stem(word: str) -> str:
-    """The same for one word on the driver (query terms), by the rules above in plain Python."""
+    """The stem of one word, by the rules above in plain Python."""
     if len(word) <= 2:
         return word
 
     def shape(w: str) -> str:
+        if "y" not in w:
+            return w.translate(_SHAPES)
         out = ""
-        for k, c in enumerate(w):
-            out += "1" if c in "aeiou" or (c == "y" and k and out[-1] == "0") else "0"
+        for c in w:
+            out += "1" if c in "aeiou" or (c == "y" and out[-1:] == "0") else "0"
         return out
 
     def measure(w: str, cut: int = 0) -> int:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.html import clean_html, informative
 from ..functions.urls import is_noise, normalize_export
-from ..session import staged
+from ..session import spread, staged
 
 MIN_HTML = 100
 
@@ -15,7 +15,8 @@ MIN_HTML = 100
 def cleaned(pages: DataFrame) -> DataFrame:
     """Every write once, with its normalised url, title and text. Html that is too short or whose
     url is noise is not parsed."""
-    once = pages.dropDuplicates(["_id"]).withColumn("norm_url", normalize_export(F.col("url")))
+    columns = ["_id", "url", "html", "source", "source_domain", "timestamp"]
+    once = spread(pages.select(*columns).dropDuplicates(["_id"]).withColumn("norm_url", normalize_export(F.col("url"))))
     usable = ~is_noise(F.col("norm_url")) & (F.length("html") >= MIN_HTML)
     html = F.when(usable, F.col("html"))
     found = once.select("_id", "url", "norm_url", "source", "source_domain", "timestamp", clean_html(html).alias("c"))

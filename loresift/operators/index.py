@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.stem import stems
-from ..functions.text import indexable, raw_tokens, tokenize
-from ..session import staged
+from ..functions.stem import stem
+from ..functions.text import MIN_TOKEN, STOP_WORDS, indexable, raw_tokens
+from ..session import spread, staged
 
-#: Largest vocabulary (distinct tokens) that is sent to every executor for stemming.
-BROADCAST_TOKENS = 500_000
+#: Stems that a Python worker remembers.
+REMEMBERED = 1_000_000
+_TOKEN = re.compile("[A-Za-z][A-Za-z']*")
+_STOP = frozenset(STOP_WORDS)
 
 
 @dataclass
@@ -33,7 +38,7 @@ class Index:
     def save(self, path: str) -> None:
         """Parquet, postings sorted by term within range partitions so that term filters skip files."""
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        clustered(self.postings).write.mode("overwrite").parquet(f"{path}/postings")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
@@ -45,33 +50,87 @@ def indexed(documents: DataFrame) -> DataFrame:
     return documents.where(indexable(F.col("text"))).select("doc_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("title", F.lit("")).alias("title"), "text")
 
 
+class Stemmer(dict):
+    """Stems of the tokens seen so far."""
+
+    def __missing__(self, token: str) -> str:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[token] = value = stem(token)
+        return value
+
+
+def tokens_of(text: str) -> list[str]:
+    """The tokens of one text without stop words; what ``functions.text.tokenize`` gives."""
+    return [t for t in map(str.lower, _TOKEN.findall(text)) if len(t) >= MIN_TOKEN and t not in _STOP]
+
+
 def token_counts(documents: DataFrame) -> DataFrame:
-    """``doc_id, token, n``: counted inside each row, so nothing is shuffled."""
-    tokens = indexed(documents).select("doc_id", F.explode(tokenize(F.col("text"))).alias("token"))
-    return tokens.groupBy("doc_id", "token").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    """``doc_id, token, n`` of the unstemmed tokens."""
+    return _counted(documents, lambda t: t, "token").select("doc_id", F.inline(F.arrays_zip(F.col("token"), F.col("n"))).alias("token", "n"))
 
 
-def stemmed(tokens: DataFrame) -> DataFrame:
-    """``tokens`` with a column ``term``. Every distinct token is stemmed once and joined back; the
-    table of stems is broadcast only if the counted vocabulary is small."""
-    words = staged(stems(tokens.select("token").distinct()), "stems").withColumnRenamed("stem", "term")
-    if words.count() <= BROADCAST_TOKENS:
-        words = F.broadcast(words)
-    return tokens.join(words, "token")
+def _counted(documents: DataFrame, form, name: str) -> DataFrame:
+    """Per document its length and the counts of its terms, in the same row: no shuffle is needed."""
+
+    def run(batches):
+        for batch in batches:
+            lengths, terms, counts, offsets = [], [], [], [0]
+            for text in batch.column("text"):
+                tokens = tokens_of(text.as_py())
+                found = Counter(map(form, tokens))
+                lengths.append(len(tokens))
+                terms.extend(found)
+                counts.extend(found.values())
+                offsets.append(len(terms))
+            offset = pa.array(offsets, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("url"), batch.column("title"), pa.array(lengths, pa.int32())]
+                + [pa.ListArray.from_arrays(offset, pa.array(terms, pa.string())), pa.ListArray.from_arrays(offset, pa.array(counts, pa.int32()))],
+                names=["doc_id", "url", "title", "doc_len", name, "n"],
+            )
+
+    return spread(indexed(documents).select("doc_id", "url", "title", "text")).mapInArrow(run, f"doc_id long, url string, title string, doc_len int, {name} array<string>, n array<int>")
 
 
 def build_index(documents: DataFrame) -> Index:
-    """Index ``documents(doc_id, url, title, text)``; texts below 50 bytes are left out."""
-    counts = staged(token_counts(documents), "tokens")
-    postings = stemmed(counts).groupBy("term", "doc_id").agg(F.sum("n").cast("int").alias("tf"))
-    docs = indexed(documents).select("doc_id", "url", "title", F.size(tokenize(F.col("text"))).alias("doc_len"))
-    return Index(docs, postings)
+    """Index ``documents(doc_id, url, title, text)``; texts below 50 bytes are left out.
+
+    One map-only pass tokenises, stems and counts; it is written once, documents and postings are
+    two views of its columns.
+    """
+    packed = staged(_counted(documents, Stemmer().__getitem__, "term"), "index")
+    postings = packed.select("doc_id", F.inline(F.arrays_zip(F.col("term"), F.col("n"))).alias("term", "tf")).select("term", "doc_id", "tf")
+    return Index(packed.select("doc_id", "url", "title", "doc_len"), postings)
+
+
+def clustered(postings: DataFrame) -> DataFrame:
+    """Postings in order of their terms, so that a filter on terms skips row groups."""
+    return postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
 
 
 def term_frequencies(documents: DataFrame) -> DataFrame:
-    """``term, frequency``: how often each stem occurs in the collection."""
-    tokens = indexed(documents).select(F.explode(tokenize(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    return stemmed(staged(tokens, "tokens")).groupBy("term").agg(F.sum("n").alias("frequency"))
+    """``term, frequency``: how often each stem occurs. A task sums its own documents first."""
+
+    def run(batches):
+        stems, counts = Stemmer(), Counter()
+        for batch in batches:
+            for text in batch.column("text"):
+                counts.update(tokens_of(text.as_py()))
+            if len(counts) > REMEMBERED:
+                yield _term_batch(counts, stems)
+                counts = Counter()
+        yield _term_batch(counts, stems)
+
+    partial = spread(indexed(documents).select("text")).mapInArrow(run, "term string, n long")
+    return partial.groupBy("term").agg(F.sum("n").alias("frequency"))
+
+
+def _term_batch(counts: Counter, stems: Stemmer) -> pa.RecordBatch:
+    merged: Counter[str] = Counter()
+    for token, n in counts.items():
+        merged[stems[token]] += n
+    return pa.RecordBatch.from_arrays([pa.array(list(merged), pa.string()), pa.array(list(merged.values()), pa.int64())], names=["term", "n"])
 
 
 def zipf(frequencies: DataFrame, limit: int = 10_000) -> DataFrame:
@@ -87,12 +146,17 @@ def zipf(frequencies: DataFrame, limit: int = 10_000) -> DataFrame:
 
 def build_statistics(documents: DataFrame, frequencies: DataFrame) -> DataFrame:
     """One row of counters and averages of an index build."""
-    docs = indexed(documents).select(tokenize(F.col("text")).alias("t"), F.octet_length("text").alias("bytes"))
-    chars = F.aggregate("t", F.lit(0), lambda a, x: a + F.length(x))
+
+    def run(batches):
+        for batch in batches:
+            found = [tokens_of(t.as_py()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_pydict({"tokens": pa.array(map(len, found), pa.int64()), "chars": pa.array((sum(map(len, f)) for f in found), pa.int64()), "bytes": batch.column("bytes")})
+
+    docs = spread(indexed(documents).select("text", F.octet_length("text").cast("long").alias("bytes"))).mapInArrow(run, "tokens long, chars long, bytes long")
     base = docs.agg(
         F.count(F.lit(1)).alias("documents"),
-        F.coalesce(F.sum(F.size("t")), F.lit(0)).alias("tokens"),
-        F.coalesce(F.sum(chars), F.lit(0)).alias("token_chars"),
+        F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"),
+        F.coalesce(F.sum("chars"), F.lit(0)).alias("token_chars"),
         F.coalesce(F.sum("bytes"), F.lit(0)).alias("text_bytes"),
     )
     terms = frequencies.agg(F.count(F.lit(1)).alias("vocabulary"), F.coalesce(F.sum(F.length("term") * F.col("frequency")), F.lit(0)).alias("stem_chars"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.stem import stem_sql, stems
 from ..functions.text import STOP_WORDS, tokenize
 from ..operators import evaluate, search
-from ..operators.index import Index, build_index, build_statistics, indexed, raw_token_rows, term_frequencies, token_counts, zipf
+from ..operators.index import Index, build_index, build_statistics, clustered, indexed, raw_token_rows, term_frequencies, token_counts, zipf
 from ..operators.query import And, Everything, Leaf, Minus, Or, holds_without_terms, query_terms, tree
 from ..session import staged, table
 
@@ -39,7 +39,7 @@ def index_of(spark: SparkSession, folder: str) -> Index:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _built:
         built = build_index(documents(spark, folder))
-        _built[key] = Index(staged(built.docs, "docs"), staged(built.postings, "postings"))
+        _built[key] = Index(built.docs, staged(clustered(built.postings), "postings"))
     return _built[key]
 
 

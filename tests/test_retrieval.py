@@ -7,10 +7,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loresift.functions.stem import stem, stem_sql, stems
+from loresift.functions.stem import stem, stem_sql, stems, stems_by_sql
 from loresift.functions.text import STOP_WORDS, occurrences, raw_tokens, tokenize
 from loresift.operators import evaluate, query, search
-from loresift.operators.index import Index, build_index, build_statistics, term_frequencies, zipf
+from loresift.operators.index import Index, build_index, build_statistics, term_frequencies, tokens_of, zipf
 
 STEMS = {
     "running": "run", "ponies": "poni", "national": "nation", "generalization": "gener", "effective": "effect", "relational": "relat", "caresses": "caress",
@@ -28,8 +28,9 @@ def test_stem_expression_equals_python(spark):
     parts = ["a", "b", "y", "e", "l", "s", "t", "'", "ing", "ed", "ational", "ement", "ion", "ll", "ies", "z", "w", "x"]
     words = sorted({"".join(rng.choices(parts, k=rng.randint(1, 5))) for _ in range(3000)} | set(STEMS))
     words = [w for w in words if w[0] != "'"]
-    got = {r.token: r.stem for r in stems(spark.createDataFrame([(w,) for w in words], "token string")).collect()}
-    assert got == {w: stem(w) for w in words}
+    frame = spark.createDataFrame([(w,) for w in words], "token string")
+    got = {r.token: r.stem for r in stems_by_sql(frame).collect()}
+    assert got == {w: stem(w) for w in words} == {r.token: r.stem for r in stems(frame).collect()}
     con = duckdb.connect()
     con.execute("CREATE TABLE v (token VARCHAR)")
     con.executemany("INSERT INTO v VALUES (?)", [(w,) for w in words])
@@ -43,6 +44,7 @@ def test_tokens(spark):
     assert got[0][0] == ["the", "pip", "boy's", "vault's", "dogs'", "a'", "tis", "caf", "na", "ve"]
     assert got[0][1] == got[0][0][1:]
     assert got[1] == ([], []) and got[2] == ([], []) and got[3] == (["the", "and"], [])
+    assert all(tokens_of(t or "") == got[k][1] for k, t in enumerate(texts))
     assert len(STOP_WORDS) == len(set(STOP_WORDS)) == 107
 
 
