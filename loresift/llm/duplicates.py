@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import spread, staged
 from .vptree import close_pairs, distance
 
 ROWS = 4
@@ -249,7 +249,7 @@ def similar(documents: DataFrame, threshold: float = 0.8, size: int = 5, min_wor
     """``(copies, links)``: ``doc_id, rep`` of every sketched document, where documents of equal
     shingle sets share a representative, and ``a, b, similarity`` between representatives."""
     texts = documents.select("doc_id", "text").where(F.length("text") > 0)
-    sketches = staged(texts.mapInArrow(lambda it: _sketches(it, size, min_words), SKETCH), "sketches")
+    sketches = staged(spread(texts).mapInArrow(lambda it: _sketches(it, size, min_words), SKETCH), "sketches")
     reps = sketches.groupBy("same").agg(F.min("doc_id").alias("rep"))
     copies = staged(sketches.select("doc_id", "same").distinct().join(reps, "same").select("doc_id", "rep"), "copies")
     alone = sketches.join(copies.where("doc_id <> rep").select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "f0", "f1", "keys")

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 SPANS = "doc_id long, item_id long, start int, end int, words int"
 
 
@@ -103,7 +105,7 @@ def _scan(batches: Iterator[pa.RecordBatch], passages: list[tuple[int, str]], mi
 
 def leaked_spans(documents: DataFrame, passages: DataFrame, min_words: int = 12, block_chars: int = 32 << 20) -> DataFrame:
     """``doc_id, item_id, start, end, words``: the longest shared run of each leaked passage."""
-    texts = documents.select("doc_id", "text").where(F.length("text") > 0)
+    texts = spread(documents.select("doc_id", "text").where(F.length("text") > 0))
     items = passages.select("item_id", "text").where(F.col("item_id").isNotNull() & (F.length("text") > 0))
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first().chars
     blocks = max(1, -(-size // block_chars))

@@ -18,6 +18,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import spread
+
 ROWS = "doc_id long, sentence_no int, start_pos int, end_pos int"
 
 # Abbreviations of the languages at hand, lower case, without the last period.
@@ -221,4 +223,4 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sentences(documents: DataFrame) -> DataFrame:
     """``doc_id, sentence_no, start_pos, end_pos`` of every sentence of every document."""
-    return documents.select("doc_id", "text").where("text <> ''").mapInArrow(_split, ROWS)
+    return spread(documents.select("doc_id", "text").where("text <> ''")).mapInArrow(_split, ROWS)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import staged, work_path
+from ..session import spread, staged, work_path
 
 #: A term: fixed by the problem statement.
 TERM = "[A-Za-z][A-Za-z']*"
@@ -101,8 +101,7 @@ def term_counts(documents: DataFrame, text: str = "text", min_chars: int = 2, bi
     """
     spark = documents.sparkSession
     partial = (
-        documents.select(F.col(text).alias("text"))
-        .where(F.col("text").isNotNull())
+        spread(documents.select(F.col(text).alias("text")).where(F.col("text").isNotNull()))
         .mapInArrow(lambda it: _count_partials(it, min_chars, memory_mb), PARTIAL)
     )
     fan, level, leaves, todo = 1 << bits, 0, [], None
