@@ -2,7 +2,7 @@
 
 Method: labelled exemplars of residue are kept in an inverted index from terms to exemplars. The main
 body of every write (problem 3; the noscript text where a page shows nothing at all) is cut into
-passage windows: sentences, pairs of sentences, blocks, and the whole body if it is short. For each
+passage windows: sentences, pairs of short sentences, and the whole body if it is short. For each
 window the index yields the exemplars that share terms with it, and the TF-IDF containment says what
 share of the window's weight they cover. Windows that are covered almost wholly mark the write.
 
@@ -39,6 +39,8 @@ _TAG = re.compile(r"<[^>]*>")
 HEADING = "\x02"
 #: Terms of a body that is compared as a whole.
 SHORT_BODY = 40
+#: Neighbouring sentences below so many terms are also looked at as a pair.
+SHORT_SENTENCE = 10
 
 
 def terms(text: str) -> list[str]:
@@ -97,15 +99,27 @@ class ExemplarIndex:
         for line in lines:
             if line.startswith(HEADING):
                 continue
-            sentences = [terms(s) for s in _SENTENCE.split(line)]
-            windows = [*sentences, *(a + b for a, b in zip(sentences, sentences[1:], strict=False))]
-            for window in windows:
-                if len(window) >= 3 or SLOT in window:
-                    share, covered = self.containment(window, 1)
-                    if share >= threshold and covered >= self.unknown / 2:
+            sentences = []
+            for sentence in _SENTENCE.split(line):
+                found = terms(sentence)
+                sentences.append((found, sum(t in self.postings for t in found)))
+            for k, (window, known) in enumerate(sentences):
+                if self._covers(window, known, threshold):
+                    return True
+                if k and len(window) < SHORT_SENTENCE and len(sentences[k - 1][0]) < SHORT_SENTENCE:
+                    before = sentences[k - 1]
+                    if self._covers(before[0] + window, before[1] + known, threshold):
                         return True
         return False
 
+    def _covers(self, window: list[str], known: int, threshold: float) -> bool:
+        """Whether one exemplar covers the window; terms outside the index weigh at least as much
+        as those in it, so a window that is mostly unknown is settled by counting."""
+        if 2 * known < len(window) or (len(window) < 3 and SLOT not in window):
+            return False
+        share, covered = self.containment(window, 1)
+        return share >= threshold and covered >= self.unknown / 2
+
 
 def _body(key: str, blocks, page: str):
     text = "\n".join((HEADING if b.element in ("h1", "h2", "h3", "h4", "h5", "h6") else "") + b.text for b in blocks)
