@@ -16,11 +16,12 @@ def cleaned(pages: DataFrame) -> DataFrame:
     """Every write once, with its normalised url, title and text. Html that is too short or whose
     url is noise is not parsed."""
     columns = ["_id", "url", "html", "source", "source_domain", "timestamp"]
-    once = spread(pages.select(*columns).dropDuplicates(["_id"]).withColumn("norm_url", normalize_export(F.col("url"))))
+    rows = spread(pages.select(*columns).withColumn("norm_url", normalize_export(F.col("url"))))
     usable = ~is_noise(F.col("norm_url")) & (F.length("html") >= MIN_HTML)
     html = F.when(usable, F.col("html"))
-    found = once.select("_id", "url", "norm_url", "source", "source_domain", "timestamp", clean_html(html).alias("c"))
-    return found.select("_id", "url", "norm_url", "source", "source_domain", "timestamp", "c.title", "c.text")
+    found = rows.select("_id", "url", "norm_url", "source", "source_domain", "timestamp", clean_html(html).alias("c"))
+    # repeated deliveries are dropped after parsing, so that no html is shuffled
+    return found.select("_id", "url", "norm_url", "source", "source_domain", "timestamp", "c.title", "c.text").dropDuplicates(["_id"])
 
 
 def with_reasons(clean: DataFrame) -> DataFrame:

@@ -34,8 +34,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where it has fewer partitions than that, as a small table in one file
-    has; large tables pass unchanged and are not shuffled."""
+    """A scanned ``df`` over all cores where it has fewer partitions than that, as a small table in
+    one file has; large tables pass unchanged and are not shuffled. Anything but a scan passes
+    unchanged too: to count its partitions would run it."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(word in plan for word in ("Join", "Aggregate", "Window", "Sort", "Repartition", "Deduplicate", "Generate")):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
