@@ -201,12 +201,12 @@ def hot_keys(bands: DataFrame, rows: int, share: int = 64) -> DataFrame:
 def candidate_pairs(sketches: DataFrame, threshold: float, hot_rows: int = 50_000) -> DataFrame:
     """``a, b``: pairs of sketched documents that share a shard and have near fingerprints."""
     bands = sketches.select("doc_id", "f0", "f1", F.explode("keys").alias("key"))
-    hot = {r.key: r.blocks for r in hot_keys(sketches.select("doc_id", F.explode("keys").alias("key")), hot_rows).limit(100_000).collect()}
+    hot = staged(hot_keys(sketches.select("doc_id", F.explode("keys").alias("key")), hot_rows), "hot")
     reach = radius(threshold)
     whole = F.lit(-1).cast("int")
-    if hot:
-        blocks = F.broadcast(bands.sparkSession.createDataFrame(list(hot.items()), "key long, blocks int"))
-        bands = bands.join(blocks, "key", "left").withColumn("own", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).cast("int"))
+    count = hot.count()
+    if count:
+        bands = bands.join(F.broadcast(hot) if count <= 100_000 else hot, "key", "left").withColumn("own", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).cast("int"))
         # block i meets block j in the cell i * blocks + j (i < j), and itself in a shard of its own
         cells = F.when(F.col("own").isNull(), F.array(F.struct(whole.alias("cell"), F.lit(0).alias("side")))).otherwise(
             F.concat(

@@ -110,8 +110,9 @@ def term_counts(documents: DataFrame, text: str = "text", min_chars: int = 2, bi
         here = rows.withColumn("radix", _digit(level, bits))
         keys = ["radix"] if level == 0 else ["prefix", "radix"]
         path = work_path(spark, f"terms-{level}")
-        # a hash exchange on the digit gives each digit to one writer, so files stay few
-        here.repartition(fan if level == 0 else max(fan, min(4096, fan * len(todo))), *keys).write.option("compression", "zstd").partitionBy(*keys).parquet(path)
+        # each digit goes to few writers, as many as there are tasks to share among the digits
+        writers = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // (fan * max(1, len(todo or ()))))
+        here.repartition(*keys, F.pmod("h", F.lit(writers))).write.option("compression", "zstd").partitionBy(*keys).parquet(path)
         sizes = _file_rows(spark, path, keys)
         large = []
         for folder, name, count in sizes:
