@@ -15,7 +15,6 @@ deliveries of a write give one row.
 
 from __future__ import annotations
 
-import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,15 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .main_text import boilerplate, each_main
+from .main_text import boilerplate, each_main, parsed
 from .residue_exemplars import EXEMPLARS, SLOT
 
 _SLOTS = re.compile(r"\{\{[^{}\n]{1,60}\}\}|\[\[[^\[\]\n]{1,60}\]\]|\$\{[^{}\n]{1,60}\}|\{[A-Za-z][\w.\- ]{0,40}\}|<%=?[^%\n]{1,60}%>|%%[\w.\- ]{1,40}%%|@@[\w.\- ]{1,40}@@|__[A-Za-z][\w.\-]{0,40}?__|#[A-Za-z][\w.\-]{1,40}#|\[[^\[\]\n]{1,40} HERE\]")
 _SLOT_SIGNS = re.compile(r"[{\[<%@#]|__")
 _TERM = re.compile(f"{SLOT}|[\\u3040-\\u30ff\\u3400-\\u9fff]+|[^\\W\\d_]+")
+_WIDE = re.compile("[\\u3040-\\u30ff\\u3400-\\u9fff]")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])")
-_NOSCRIPT = re.compile(r"<noscript\b[^>]*>(.*?)</noscript\s*>", re.I | re.S)
-_TAG = re.compile(r"<[^>]*>")
 #: Marks the lines of headings in stored bodies.
 HEADING = "\x02"
 #: Terms of a body that is compared as a whole.
@@ -47,12 +45,15 @@ def terms(text: str) -> list[str]:
     """Lower-cased words without numbers; two-letter pieces of scripts without blanks; slots."""
     if _SLOT_SIGNS.search(text):
         text = _SLOTS.sub(f" {SLOT} ", text)
+    found = _TERM.findall(text.lower())
+    if text.isascii() or not _WIDE.search(text):
+        return found
     result = []
-    for m in _TERM.findall(text):
-        if "぀" <= m[0] <= "鿿":
+    for m in found:
+        if "\u3040" <= m[0] <= "\u9fff":
             result.extend(m[k : k + 2] for k in range(max(1, len(m) - 1)))
         else:
-            result.append(m.lower())
+            result.append(m)
     return result
 
 
@@ -102,7 +103,7 @@ class ExemplarIndex:
             sentences = []
             for sentence in _SENTENCE.split(line):
                 found = terms(sentence)
-                sentences.append((found, sum(t in self.postings for t in found)))
+                sentences.append((found, sum(map(self.postings.__contains__, found))))
             for k, (window, known) in enumerate(sentences):
                 if self._covers(window, known, threshold):
                     return True
@@ -121,11 +122,9 @@ class ExemplarIndex:
         return share >= threshold and covered >= self.unknown / 2
 
 
-def _body(key: str, blocks, page: str):
+def _body(key: str, blocks, noscript: str):
     text = "\n".join((HEADING if b.element in ("h1", "h2", "h3", "h4", "h5", "h6") else "") + b.text for b in blocks)
-    if not text:
-        text = "\n".join(" ".join(entities.unescape(_TAG.sub(" ", m)).split()) for m in _NOSCRIPT.findall(page))
-    return [(key, text)]
+    return [(key, text or noscript)]
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch], known: frozenset[str]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +143,8 @@ def _mark(batches: Iterator[pa.RecordBatch], index: ExemplarIndex, threshold: fl
 
 def bodies(pages: DataFrame, **options) -> DataFrame:
     """``_id, body``: the main text of every write, headings marked, written once."""
-    return staged(each_main(pages, boilerplate(pages, **options), _body, "_id string,body string"), "bodies")
+    table = parsed(pages)
+    return staged(each_main(table, boilerplate(table, **options), _body, "_id string,body string"), "bodies")
 
 
 def residue_index(bodies: DataFrame) -> ExemplarIndex:

@@ -47,9 +47,10 @@ def test_main_body(spark, pages):
 
 
 def test_join_path_equals_broadcast(spark, pages):
-    covered = main_text.boilerplate(pages)
+    table = main_text.parsed(pages)
+    covered = main_text.boilerplate(table)
     body = lambda key, blocks, _: [(key, "|".join(b.text for b in blocks))]
-    rows = [sorted(map(tuple, main_text.each_main(pages, covered, body, "_id string,text string", limit_bytes=limit).collect())) for limit in (1 << 20, 0)]
+    rows = [sorted(map(tuple, main_text.each_main(table, covered, body, "_id string,text string", limit_bytes=limit).collect())) for limit in (1 << 20, 0)]
     assert rows[0] == rows[1]
 
 
