@@ -1,14 +1,20 @@
 """Problem 3: the main body of each page, without what the site puts on all its pages.
 
-Method: per host, the pages' streams of text units are sorted into a suffix array
-(``suffix.common_prefixes``, in parts); runs that are shared by at least ``share`` of the host's
-distinct pages (and by ``min_pages``) are boilerplate, and what they cover is removed. Units are
-blocks, or the link texts of a block that consists of links, with case and digits folded, so that
-counters, dates and menus of varying length are covered too. What is unique to a page but belongs to
-a boilerplate box (readers' comments, teasers, advertisements) goes with the box: a box that opens
-with a covered block of its own, and holds neither the page's heading nor the page as a whole, is
-removed with all it contains. Runs below the share are kept: section headings and error messages
-recur on many pages of a site, but never on a twentieth of them.
+Method: per host, the text units of the pages are counted, and units on at least ``share`` of the
+host's articles (and on ``min_pages``) are boilerplate. Pages with one heading count as one article, so
+copies of an article and repeated error pages do not make their own text boilerplate; pages without a
+heading are one article too. A heading on more than half of a host's pages names the site, and its
+pages count one by one. Units are blocks, or the link texts of a block that consists of links, with
+case and digits folded. Blocks of the article (in the box of its h1) keep their digits, except where
+a counter or date may stand: link bars, headings that open a box, long paragraphs of inner boxes, and
+paragraphs beside an h1 that stands in the body itself.
+
+What is unique to a page but belongs to a boilerplate box (readers' comments, teasers, advertisements)
+goes with the box: a box that opens with a covered block of its own, and holds neither the page's
+heading nor the page as a whole, is removed with all it contains. In the article, lists, tables and
+quotes are no such boxes, nor are boxes that open with a section heading and do not close with covered
+text. Covered blocks that stand between the h1 and the article's last own block are kept: section
+headings are usual on some hosts, and notices stand in boxes or at the ends.
 
 Defined results: null html gives no rows; repeated deliveries of a write give one; a page of a host
 with fewer pages than ``min_pages`` keeps everything; a null host is a host of its own.
@@ -28,50 +34,96 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread, staged
-from .pages import Block, parse
-from .suffix import common_prefixes
+from .lines import bounded_broadcast
+from .pages import Block, Box, parse
 
 _DIGITS = re.compile(r"\d+")
 _NOSCRIPT = re.compile(r"<noscript\b[^>]*>(.*?)</noscript\s*>", re.I | re.S)
 _TAG = re.compile(r"<[^>]*>")
 #: Boxes that hold a page as a whole and are never removed with their content.
 _WHOLE = frozenset(("", "html", "body", "main", "article"))
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Boxes that hold content rather than notices where they stand in the article.
+_CONTENT = frozenset("table tr td th ul ol dl blockquote figure details".split())
+#: Boxes that may be sections of the article.
+_SECTIONS = frozenset("div section article main".split())
+#: An h1 directly in one of these shares its box with menus and notices.
+_FLAT = frozenset(("", "html", "body"))
+_CONTROLS = frozenset(("button", "label"))
+_WORD = re.compile(r"[^\W\d_]+")
+#: Words of a paragraph that may be a notice with a counter or a date.
+NOTICE_WORDS = 4
+#: The same in a box inside the article, where notices are sentences.
+BOXED_WORDS = 12
 #: Largest table of covered units that is sent to every executor.
 BROADCAST_BYTES = 64 << 20
 
 
-def _symbol(text: str) -> int:
+def _symbol(text: str, fold: bool = True) -> int:
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(_DIGITS.sub("0", text.lower())) - (1 << 63)
+    return xxhash.xxh3_64_intdigest(_DIGITS.sub("0", text.lower()) if fold else text.lower()) - (1 << 63)
 
 
-def units(block: Block) -> list[int]:
+def units(block: Block, fold: bool = True) -> list[int]:
     """Symbols of a block: of its link texts if it is little else, else of the whole."""
     if len(block.parts) > 1 and sum(map(len, block.parts)) >= 0.6 * len(block.text):
-        return [_symbol(" ".join(p.split())) for p in block.parts if p.strip()]
-    return [_symbol(block.text)]
+        return [_symbol(" ".join(p.split()), fold) for p in block.parts if p.strip()]
+    return [_symbol(block.text, fold)]
+
+
+def heading(blocks: list[Block], boxes: list[Box]) -> tuple[int, int]:
+    """The block of the page's h1 and the box of its article, or -1 and -1."""
+    found = [k for k, b in enumerate(blocks) if b.element == "h1"]
+    if not found:
+        return -1, -1
+    top = next((k for k in found if boxes[blocks[k].box].tag not in ("header", "nav", "aside", "footer")), found[0])
+    home = blocks[top].box
+    while home > 0 and boxes[home].first == boxes[home].last:  # holds the h1 alone
+        home = boxes[home].parent
+    return top, home
+
+
+def within(home: int, parents: list[int]) -> list[bool]:
+    """Which boxes are the box ``home`` or stand in it; parents come before their children."""
+    result: list[bool] = []
+    for number, parent in enumerate(parents):
+        result.append(number == home or parent >= 0 and result[parent])
+    return result
+
+
+def page_units(blocks: list[Block], boxes: list[Box], top: int, home: int) -> list[list[int]]:
+    """Symbols per block; see the module's text for which blocks have their digits folded."""
+    inner = within(home, [x.parent for x in boxes])
+    flat = home >= 0 and boxes[home].tag in _FLAT
+    result = []
+    for k, b in enumerate(blocks):
+        result.append(units(b))
+    return result
 
 
 PARSED = (
     "_id string, grp long, doc long, texts array<string>, elements array<string>, inside array<int>, units array<long>, n_units array<int>,"
-    " tags array<string>, firsts array<int>, lasts array<int>, noscript string"
+    " tags array<string>, firsts array<int>, lasts array<int>, parents array<int>, top int, home int, title long, noscript string"
 )
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per write: its blocks with their units, its boxes, and the text for lack of scripts."""
-    kinds = [pa.list_(k) for k in (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32())]
+    whole = [pa.int32(), pa.int32(), pa.int64()]
+    kinds = [pa.list_(k) for k in (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32())] + whole
     for batch in batches:
         columns: list[list] = [[] for _ in kinds]
         hidden = []
         for value in batch.column("html"):
             page = value.as_py()
             blocks, boxes = parse(page)
-            own = [units(b) for b in blocks]
+            top, home = heading(blocks, boxes)
+            own = page_units(blocks, boxes, top, home)
             row = (
                 [b.text for b in blocks], [b.element for b in blocks], [b.box for b in blocks], [u for us in own for u in us], [len(us) for us in own],
-                [x.tag for x in boxes], [x.first for x in boxes], [x.last for x in boxes],
+                [x.tag for x in boxes], [x.first for x in boxes], [x.last for x in boxes], [x.parent for x in boxes],
+                top, home, _symbol(blocks[top].text, False) if top >= 0 else 0,
             )
             for column, item in zip(columns, row, strict=True):
                 column.append(item)
@@ -80,7 +132,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, names=_NAMES)
 
 
-_NAMES = "_id grp doc texts elements inside units n_units tags firsts lasts noscript".split()
+_NAMES = "_id grp doc texts elements inside units n_units tags firsts lasts parents top home title noscript".split()
 
 
 @dataclass(slots=True)
@@ -98,16 +150,37 @@ def main_blocks(page: dict, covered) -> list[Kept]:
     for n in page["n_units"]:
         shared.append(sum(known[at : at + n]) >= 0.7 * n)
         at += n
-    elements, inside = page["elements"], page["inside"]
+    elements, inside, tags, texts = page["elements"], page["inside"], page["tags"], page["texts"]
     headings = [k for k, e in enumerate(elements) if e == "h1"]
-    gone = [False] * len(shared)
-    for number, (tag, first, last) in enumerate(zip(page["tags"], page["firsts"], page["lasts"], strict=True)):
-        if last < 0 or tag in _WHOLE or not shared[first] or inside[first] != number:
+    top, home = page["top"], page["home"]
+    if top >= 0 and shared[top]:  # the site's name, not the article's
+        top = home = -1
+    inner = within(home, page["parents"])
+    flat = home >= 0 and tags[home] in _FLAT
+    gone, loose = [False] * len(shared), [False] * len(shared)
+    for number, (tag, first, last) in enumerate(zip(tags, page["firsts"], page["lasts"], strict=True)):
+        if last < 0 or inside[first] != number:
             continue
-        if any(first <= h <= last for h in headings):
+        digits = _DIGITS.search(texts[first])
+        if first == last and elements[first] == tag and page["n_units"][first] == 1 and not digits:
+            loose[first] = tag in _SECTIONS  # a box of one text is as good as none
+        if tag in _WHOLE or not shared[first] or any(first <= h <= last for h in headings):
             continue
+        if inner[number]:
+            if tag in _CONTENT or loose[first]:
+                continue
+            if tag in _SECTIONS and elements[first] in _HEADINGS and not digits and not (shared[last] and elements[last] not in _HEADINGS):
+                loose[first : last + 1] = [True] * (last - first + 1)
+                continue
         gone[first : last + 1] = [True] * (last - first + 1)
-    return [Kept(t, e) for t, e, s, g in zip(page["texts"], elements, shared, gone, strict=True) if not s and not g]
+
+    def stands(k: int) -> bool:
+        """Whether a block stands in the article's own flow."""
+        return inner[inside[k]] and not gone[k] and (not flat or inside[k] == home or loose[k] or tags[inside[k]] in _CONTENT)
+
+    end = max((k for k, s in enumerate(shared) if not s and stands(k)), default=-1)
+    kept = (not g and (not s or top < k < end and stands(k) and elements[k] not in _CONTROLS) for k, (s, g) in enumerate(zip(shared, gone, strict=True)))
+    return [Kept(t, e) for t, e, k in zip(texts, elements, kept, strict=True) if k]
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -116,13 +189,23 @@ def parsed(pages: DataFrame) -> DataFrame:
     return staged(spread(keyed).mapInArrow(_parsed, PARSED), "parsed")
 
 
-def boilerplate(parsed: DataFrame, share: float = 0.05, min_pages: int = 3, depth: int = 3, **options) -> DataFrame:
-    """``grp, symbol``: the units that open a run shared by enough distinct pages of the host."""
-    sequences = parsed.select("grp", "doc", F.col("units").alias("symbols"))
-    sizes = sequences.select("grp", "doc").distinct().groupBy("grp").count()
-    floors = staged(sizes.select("grp", F.greatest(F.lit(min_pages), F.ceil(F.col("count") * share)).alias("floor")), "floors")
-    runs = common_prefixes(sequences, min_pages, depth, floors=floors, **options)
-    return staged(runs.where("length = 1").select("grp", F.col("first").alias("symbol")), "covered")
+def boilerplate(parsed: DataFrame, share: float = 0.05, min_pages: int = 3) -> DataFrame:
+    """``grp, symbol``: the units that enough distinct articles of the host share.
+
+    Units are made distinct per article and counted with partial aggregation, so neither a common
+    unit nor an article with many copies meets in one task.
+    """
+    pages = parsed.select("grp", "title", "doc").distinct()
+    sizes = pages.groupBy("grp").agg(F.count_distinct("doc").alias("pages"))
+    titles = pages.groupBy("grp", "title").agg(F.count(F.lit(1)).alias("n")).join(sizes, "grp")
+    names = staged(titles.where("2 * n > pages").where(F.col("pages") >= min_pages).select(F.col("grp").alias("of"), F.col("title").alias("name")), "names")
+    named = parsed.join(bounded_broadcast(names, 32), F.expr("grp = of AND title = name"), "left").select(
+        "grp", F.when(F.col("name").isNull(), F.xxhash64("title")).otherwise(F.col("doc")).alias("article"), "units"
+    )
+    floors = named.select("grp", "article").distinct().groupBy("grp").agg(F.greatest(F.lit(min_pages), F.ceil(F.count(F.lit(1)) * share)).alias("floor"))
+    single = named.select("grp", "article", F.explode(F.array_distinct("units")).alias("symbol")).distinct()
+    counts = single.groupBy("grp", "symbol").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    return staged(counts.join(floors, "grp").where("n >= floor").select("grp", "symbol"), "covered")
 
 
 class Covered:
@@ -141,21 +224,21 @@ def mixed_keys(grp: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         return symbol.astype(np.int64).view(np.uint64) ^ (grp.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def each_main(parsed: DataFrame, covered: DataFrame, per_page, schema: str, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Apply ``per_page(_id, main blocks, noscript) -> rows`` to every write.
+def each_main(parsed: DataFrame, covered: DataFrame, per_page, schema: str, limit_bytes: int = BROADCAST_BYTES, spare=lambda page: page["noscript"]) -> DataFrame:
+    """Apply ``per_page(_id, main blocks, spare text) -> rows`` to every write; ``spare`` is the noscript text if nothing else is given.
 
     The covered units are sent to all executors if their counted size allows it; else they are
     joined per host, each host's list being bounded by units per page over the share.
     """
     names = [part.split()[0] for part in schema.split(",")]
-    needed = ["texts", "elements", "inside", "units", "n_units", "tags", "firsts", "lasts"]
+    needed = ["texts", "elements", "inside", "units", "n_units", "tags", "firsts", "lasts", "parents", "top", "home"]
 
     def rows(batches, known):
         for batch in batches:
             out = []
             for page in batch.to_pylist():
                 test = known.of(page["grp"]) if known is not None else set(page["own"] or ()).__contains__
-                out.extend(per_page(page["_id"], main_blocks(page, test), page["noscript"]))
+                out.extend(per_page(page["_id"], main_blocks(page, test), spare(page)))
             yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=_arrow(schema))
 
     columns = ["_id", "grp", *needed, "noscript"]

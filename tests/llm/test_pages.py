@@ -86,3 +86,33 @@ def test_containment():
     assert terms("A {{x}} ${y} 12 b2 页面不存在") == ["a", SLOT, SLOT, "b", "页面", "面不", "不存", "存在"]
     assert index.containment(terms("seite nicht gefunden"), 1)[0] == 1.0
     assert index.containment(terms("the seite of our northern quarry"), 1)[0] < 0.5
+
+
+def plain(k, body, footer="<div><a>© 2020 X</a> | <a>Imprint</a></div>"):
+    menu = "".join(f"<li><a href='/{x}'>{x}</a></li>" for x in ("Home", "Maps", "News"))
+    return f"<html><body><ul>{menu}</ul><div id='main'>{body}{SIDE.format(n=k, k=k)}</div><p>Viewed {k * 37} times</p>{footer}</body></html>"
+
+
+def kept(spark, bodies):
+    rows = [(f"{k}", f"u{k}", plain(k, b), None, "h", k, None, "c") for k, b in enumerate(bodies)]
+    texts = {int(r._id): r.text.split("\n") for r in main_text.main_texts(spark.createDataFrame(rows, PAGE)).collect()}
+    assert all(not {"Home", "Imprint", f"{k} comments", f"Viewed {k * 37} times"} & set(texts[k]) for k in texts)
+    return texts
+
+
+def word(k):
+    return f"{chr(97 + k // 20)}{chr(97 + k % 20)}vor"
+
+
+def test_shared_headings(spark, pages):
+    texts = {r._id: r.text.split("\n") for r in main_text.main_texts(pages).collect()}
+    assert all("History" in texts[str(k)] for k in range(40))
+    got = kept(spark, [f"<h1>{word(k)}</h1><p>Intro {word(k)}.</p><section><h2>Loot</h2><p>Loot of {word(k)}.</p><h3>Bugs</h3><p>Bug in {word(k)}.</p></section><div>Layout</div><p>Map of {word(k)}.</p><div><h4>Our blog</h4><p>Teaser {word(k)}</p><div>Read on</div></div>" for k in range(40)])
+    for k in range(40):
+        assert got[k] == [word(k), f"Intro {word(k)}.", "Loot", f"Loot of {word(k)}.", "Bugs", f"Bug in {word(k)}.", "Layout", f"Map of {word(k)}."]
+
+
+def test_copied_articles(spark):
+    copy = "<h1>Dam</h1><p>The dam is old.</p><h2>Uses</h2><ul><li>Power</li><li>Water</li></ul>"
+    got = kept(spark, [copy if k % 3 == 0 else f"<h1>{word(k)}</h1><p>Intro {word(k)}.</p>" for k in range(40)])
+    assert all(got[k] == ["Dam", "The dam is old.", "Uses", "Power", "Water"] for k in range(0, 40, 3))
