@@ -98,7 +98,13 @@ def page_units(blocks: list[Block], boxes: list[Box], top: int, home: int) -> li
     flat = home >= 0 and boxes[home].tag in _FLAT
     result = []
     for k, b in enumerate(blocks):
-        result.append(units(b))
+        fold = not inner[b.box]
+        if not fold and k != top and boxes[b.box].tag not in _CONTENT:
+            if b.box == home:
+                fold = flat and b.element == "p" and len(_WORD.findall(b.text)) >= NOTICE_WORDS
+            else:
+                fold = len(b.parts) > 1 or b.element in _HEADINGS and boxes[b.box].first == k or b.element == "p" and len(_WORD.findall(b.text)) >= BOXED_WORDS
+        result.append(units(b, fold))
     return result
 
 

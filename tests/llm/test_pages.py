@@ -116,3 +116,10 @@ def test_copied_articles(spark):
     copy = "<h1>Dam</h1><p>The dam is old.</p><h2>Uses</h2><ul><li>Power</li><li>Water</li></ul>"
     got = kept(spark, [copy if k % 3 == 0 else f"<h1>{word(k)}</h1><p>Intro {word(k)}.</p>" for k in range(40)])
     assert all(got[k] == ["Dam", "The dam is old.", "Uses", "Power", "Water"] for k in range(0, 40, 3))
+
+
+def test_uniform_articles(spark):
+    """Blocks that differ in their digits only are the article's own."""
+    got = kept(spark, [f"<h1>No. {k}</h1><p>Range: {k}</p><div>Load | {k}</div><dl><dt>Weight</dt><dd>{k} kg</dd></dl><ul><li>item of {k}</li></ul>" for k in range(40)])
+    for k in range(40):
+        assert got[k] == [f"No. {k}", f"Range: {k}", f"Load | {k}", "Weight", f"{k} kg", f"item of {k}"]
