@@ -1,10 +1,12 @@
 """Problem 7: writes that hold template residue, filler, an error or a demand for scripts.
 
 Method: labelled exemplars of residue are kept in an inverted index from terms to exemplars. The main
-body of every write (problem 3; the noscript text where a page shows nothing at all) is cut into
+body of every write (problem 3) is cut into
 passage windows: sentences, pairs of short sentences, and the whole body if it is short. For each
 window the index yields the exemplars that share terms with it, and the TF-IDF containment says what
 share of the window's weight they cover. Windows that are covered almost wholly mark the write.
+Where nothing but headings remains of a page, its noscript text and all that it shows are looked at
+too: a message that a host serves on most of its pages counts as boilerplate there.
 
 Inverse document frequencies come from all writes. Terms outside the index weigh as much as a term
 that occurs once: an article that merely mentions an error message holds enough of them around it.
@@ -17,7 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ _WIDE = re.compile("[\\u3040-\\u30ff\\u3400-\\u9fff]")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])")
 #: Marks the lines of headings in stored bodies.
 HEADING = "\x02"
+#: Separates the parts of a stored body that are looked at one by one.
+PART = "\x03"
 #: Terms of a body that is compared as a whole.
 SHORT_BODY = 40
 #: Neighbouring sentences below so many terms are also looked at as a pair.
@@ -122,9 +126,19 @@ class ExemplarIndex:
         return share >= threshold and covered >= self.unknown / 2
 
 
-def _body(key: str, blocks, noscript: str):
-    text = "\n".join((HEADING if b.element in ("h1", "h2", "h3", "h4", "h5", "h6") else "") + b.text for b in blocks)
-    return [(key, text or noscript)]
+def _lines(blocks: Iterable[tuple[str, str]]) -> str:
+    return "\n".join((HEADING if element in ("h1", "h2", "h3", "h4", "h5", "h6") else "") + text for text, element in blocks)
+
+
+def _spare(page: dict) -> str:
+    """The noscript text and all blocks of a page, for pages without article text."""
+    return page["noscript"] + PART + _lines(zip(page["texts"], page["elements"], strict=True))
+
+
+def _body(key: str, blocks, spare: str):
+    text = _lines((b.text, b.element) for b in blocks)
+    article = any(not x.startswith(HEADING) for x in text.split("\n")) and text
+    return [(key, text if article else text + PART + spare)]
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch], known: frozenset[str]) -> Iterator[pa.RecordBatch]:
@@ -137,14 +151,14 @@ def _frequencies(batches: Iterator[pa.RecordBatch], known: frozenset[str]) -> It
 
 def _mark(batches: Iterator[pa.RecordBatch], index: ExemplarIndex, threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hit = [index.is_residue(body or "", threshold) for body in batch.column("body").to_pylist()]
+        hit = [any(index.is_residue(part, threshold) for part in (body or "").split(PART)) for body in batch.column("body").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("_id").filter(pa.array(hit, pa.bool_()))], names=["_id"])
 
 
 def bodies(pages: DataFrame, **options) -> DataFrame:
     """``_id, body``: the main text of every write, headings marked, written once."""
     table = parsed(pages)
-    return staged(each_main(table, boilerplate(table, **options), _body, "_id string,body string"), "bodies")
+    return staged(each_main(table, boilerplate(table, **options), _body, "_id string,body string", spare=_spare), "bodies")
 
 
 def residue_index(bodies: DataFrame) -> ExemplarIndex:

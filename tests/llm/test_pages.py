@@ -123,3 +123,12 @@ def test_uniform_articles(spark):
     got = kept(spark, [f"<h1>No. {k}</h1><p>Range: {k}</p><div>Load | {k}</div><dl><dt>Weight</dt><dd>{k} kg</dd></dl><ul><li>item of {k}</li></ul>" for k in range(40)])
     for k in range(40):
         assert got[k] == [f"No. {k}", f"Range: {k}", f"Load | {k}", "Weight", f"{k} kg", f"item of {k}"]
+
+
+@pytest.mark.parametrize("times", [3, 7])
+def test_repeated_residue(spark, times):
+    """An error page on a third, and on seven tenths, of a host's urls, with and without a heading."""
+    for error in ("<h1>Oops!</h1><p>This link leads nowhere. Use the search instead.</p>", "<p>Lorem ipsum dolor sit amet, consectetur adipiscing elit.</p>"):
+        bad = [k for k in range(40) if (k % 3 == 0 if times == 3 else k % 10 < 7)]
+        rows = [(f"{k}", f"u{k}", plain(k, error if k in bad else f"<h1>{word(k)}</h1><p>The dam of {word(k)} keeps three generators below its eastern wall.</p>"), None, "h", 1, None, "c") for k in range(40)]
+        assert sorted(int(r._id) for r in residue.residue_writes(spark.createDataFrame(rows, PAGE)).collect()) == bad
