@@ -75,6 +75,7 @@ def without_repeated_lines(documents: DataFrame, min_documents: int = 5, min_cha
 def maximal_blocks(documents: DataFrame, min_documents: int = 5, min_chars: int = 25, **options) -> DataFrame:
     """``source, length, documents, occurrences, first``: blocks of two lines and more that no block
     of the same start and frequency extends."""
-    _, blocks = repeated_blocks(documents, min_documents, min_chars, **options)
-    best = blocks.groupBy("grp", "first", "documents").agg(F.max(F.struct("length", "occurrences", "prefix")).alias("b"))
-    return best.where("b.length >= 2").select("grp", "first", "b.length", "documents", "b.occurrences", "b.prefix")
+    _, blocks = repeated_blocks(documents, min_documents, min_chars, parents=True, **options)
+    longer = blocks.select("grp", F.col("parent").alias("prefix"), "documents").distinct()
+    best = blocks.where("length >= 2").join(longer, ["grp", "prefix", "documents"], "left_anti")
+    return best.select("grp", "first", "length", "documents", "occurrences", "prefix")

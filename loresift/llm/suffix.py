@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REPORT = "grp long, first long, prefix long, length int, documents long, occurrences long"
+REPORT = "grp long, first long, parent long, prefix long, length int, documents long, occurrences long"
 
 #: Salts of the lookup of counts: a symbol that a third of all rows hold is spread over so many.
 SALTS = 32
@@ -59,7 +59,7 @@ def _report(grp: np.ndarray, doc: np.ndarray, matrix: np.ndarray, real: np.ndarr
     equal[0] = False
     equal[1:] = grp[1:] == grp[:-1]
     hashes = prefix_hashes(matrix)
-    columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+    columns: list[list[np.ndarray]] = [[] for _ in range(7)]
     for k in range(depth):  # equal: the longest common prefix with the neighbour above exceeds k
         equal = equal & np.concatenate(([False], matrix[1:, k] == matrix[:-1, k]))
         starts = np.flatnonzero(~equal)
@@ -73,7 +73,7 @@ def _report(grp: np.ndarray, doc: np.ndarray, matrix: np.ndarray, real: np.ndarr
         if not keep.any():
             break
         s = starts[keep]
-        for column, values in zip(columns, (grp[s], matrix[s, 0], hashes[s, k], np.full(len(s), k + 1, dtype=np.int32), documents[keep], lengths[keep]), strict=True):
+        for column, values in zip(columns, (grp[s], matrix[s, 0], hashes[s, k - 1] if k else np.zeros(len(s), dtype=np.int64), hashes[s, k], np.full(len(s), k + 1, dtype=np.int32), documents[keep], lengths[keep]), strict=True):
             column.append(values)
     return [np.concatenate(c) for c in columns]
 
@@ -92,7 +92,7 @@ def _parts(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
         has = real > k
         matrix[has, k] = flat[base[has] + k]
     columns = _report(grp, doc, matrix, real)
-    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["grp", "first", "prefix", "length", "documents", "occurrences"])
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["grp", "first", "parent", "prefix", "length", "documents", "occurrences"])
 
 
 def repeated_symbols(sequences: DataFrame, min_documents: int, floors: DataFrame | None = None) -> DataFrame:
@@ -110,13 +110,14 @@ def repeated_symbols(sequences: DataFrame, min_documents: int, floors: DataFrame
 
 
 def common_prefixes(
-    sequences: DataFrame, min_documents: int, depth: int = 8, bundle_rows: int = 200_000, part_rows: int = 1_000_000, parts: int | None = None, floors: DataFrame | None = None
+    sequences: DataFrame, min_documents: int, depth: int = 8, bundle_rows: int = 200_000, part_rows: int = 1_000_000, parts: int | None = None, floors: DataFrame | None = None, parents: bool = False
 ) -> DataFrame:
     """``grp, first, prefix, length, documents, occurrences`` of every run of up to ``depth`` symbols
     that at least ``min_documents`` documents of its group hold, and at least the ``floor`` that
     ``floors`` (``grp, floor``) has for the group.
 
     ``sequences`` has ``grp long, doc long, symbols array<long>``, one or more rows per document.
+    With ``parents`` a column ``parent`` gives the prefix of the run that is one symbol shorter.
     A null symbol stands for something that is never repeated and ends a run.
     """
     spark = sequences.sparkSession
@@ -141,9 +142,10 @@ def common_prefixes(
         total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()["rows"]
         parts = max(int(spark.sparkContext.defaultParallelism), -(-2 * total // part_rows))
     reports = tails.repartition(parts, "grp", "first", "deal").select("grp", "doc", "tail").mapInArrow(lambda it: _parts(it, depth), REPORT)
+    extra = [F.first("parent").alias("parent")] if parents else []
     runs = (
         reports.groupBy("grp", "first", "prefix", "length")
-        .agg(F.sum("documents").alias("documents"), F.sum("occurrences").alias("occurrences"))
+        .agg(F.sum("documents").alias("documents"), F.sum("occurrences").alias("occurrences"), *extra)
         .where(F.col("documents") >= min_documents)
     )
     return runs if floors is None else runs.join(floors, "grp").where("documents >= floor").drop("floor")

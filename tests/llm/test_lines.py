@@ -71,6 +71,15 @@ def test_multi_line_blocks(spark):
     assert got == [(2, 7), (3, 6)]
 
 
+def test_blocks_of_one_start(spark):
+    """Notices that rotate after the same line are blocks of their own."""
+    lead = "a line that opens every one of the notices"
+    tails = [f"a line that closes the notice {x}" for x in "xyz"]
+    rows = [(k, "s", f"{lead}\n{tails[k % 3]}") for k in range(18)]
+    got = [(r.length, r.documents) for r in lines.maximal_blocks(frame(spark, rows)).collect()]
+    assert got == [(2, 6)] * 3
+
+
 @pytest.mark.parametrize("bundle_rows", [1_000_000, 3])
 def test_common_prefixes_equal_counting(spark, bundle_rows):
     import numpy as np
