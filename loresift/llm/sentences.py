@@ -50,10 +50,6 @@ _FIRST = re.compile(r"[^\s]+")
 _THAI = re.compile("[\\u0e00-\\u0e7f]")
 _BULLET = re.compile(r"[\s\-–—•*·+]*(?:\(?(?:\d{1,3}|[A-Za-z]|[ivxIVX]{1,4})[.)]+)?\s*$")
 
-#: How many candidates a span may pass over.
-REACH = 24
-
-
 class _Line:
     """Candidates of one line with what their scores need."""
 
@@ -152,29 +148,39 @@ class _Line:
         return result
 
     def best(self) -> list[int]:
-        """Ends of the best spans."""
+        """Ends of the best spans. A span may pass over any number of candidates: starts are tried
+        from the nearest on until no farther one can reach the score at hand, as the passed weights
+        and the length only grow."""
         n = len(self.cuts)
         passed = [0.0]
         for w in self.weight[1:]:
             passed.append(passed[-1] + max(0.0, w))
         score, back = [0.0] + [float("-inf")] * (n - 1), [0] * n
+        most = [0.0]  # the greatest score up to each cut
         for j in range(1, n):
-            for i in range(max(0, j - REACH), j):
+            for i in range(j - 1, -1, -1):
+                size = self._size(i, j)
+                if most[i] + self.weight[j] - (passed[j - 1] - passed[i]) - max(0.0, (size - 600) / 300) < score[j]:
+                    break
                 gain = score[i] + self._span(i, j, passed)
-                if gain > score[j]:
+                if gain >= score[j]:
                     score[j], back[j] = gain, i
+            most.append(max(most[-1], score[j]))
         ends, j = [], n - 1
         while j:
             ends.append(self.cuts[j][1])
             j = back[j]
         return ends[::-1]
 
+    def _size(self, i: int, j: int) -> int:
+        return len(self.line[self.cuts[i][1] : self.cuts[j][1]].strip())
+
     def _span(self, i: int, j: int, passed: list[float]) -> float:
         value = self.weight[j]
         value -= passed[j - 1] - passed[i]  # candidates inside that would have ended a sentence
         if self.depth[i] != self.depth[j] and j < len(self.cuts) - 1:
             value -= 9.0
-        size = len(self.line[self.cuts[i][1] : self.cuts[j][1]].strip())
+        size = self._size(i, j)
         if not any(c.isalnum() for c in self.line[self.cuts[i][1] : self.cuts[j][1]]):
             value -= 6.0
         elif size < 4:

@@ -49,3 +49,10 @@ def test_frame(spark):
     got = sorted((r.doc_id, r.sentence_no, r.end_pos) for r in sentences(frame).collect())
     assert got == [(1, 0, 4), (1, 1, 9), (5, 0, 100_000)]
     assert sentences(frame.limit(0)).count() == 0
+
+
+def test_long_reach():
+    """One sentence with more initials than any fixed reach."""
+    line = "The list names " + "J. K. L. " * 20 + "Dunhar and nobody else. Then the next one begins."
+    first = line.index(" Then")
+    assert spans(line) == [(0, first), (first + 1, len(line))]
