@@ -1,7 +1,9 @@
 """Problem 3: the main body of each page, without what the site puts on all its pages.
 
-Method: per host, the text units of the pages are counted, and units on at least ``share`` of the
-host's articles (and on ``min_pages``) are boilerplate. Pages with one heading count as one article, so
+Method: per host, the token streams of the pages are concatenated and a suffix array over them gives the
+runs of tokens that many of the host's articles share (``tokenruns``): at least ``share`` of them, and
+``min_articles``. A text unit whose tokens lie in such runs is boilerplate, also where it holds a changing
+word; units that no run covers are the page's own. Pages with one heading count as one article, so
 copies of an article and repeated error pages do not make their own text boilerplate; pages without a
 heading are one article too. A heading on more than half of a host's pages names the site, and its
 pages count one by one. Units are blocks, or the link texts of a block that consists of links, with
@@ -17,7 +19,7 @@ text. Covered blocks that stand between the h1 and the article's last own block
 headings are usual on some hosts, and notices stand in boxes or at the ends.
 
 Defined results: null html gives no rows; repeated deliveries of a write give one; a page of a host
-with fewer pages than ``min_pages`` keeps everything; a null host is a host of its own.
+with fewer articles than ``min_articles`` keeps everything; a null host is a host of its own.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ from pyspark.sql import functions as F
 from ..session import spread, staged
 from .lines import bounded_broadcast
 from .pages import Block, Box, parse
+from .tokenruns import EDGE, Tokens, covered_pieces, mixed, packed, units_covered, unpacked
 
 _DIGITS = re.compile(r"\d+")
 _NOSCRIPT = re.compile(r"<noscript\b[^>]*>(.*?)</noscript\s*>", re.I | re.S)
@@ -51,25 +54,35 @@ _SECTIONS = frozenset("div section article main".split())
 _FLAT = frozenset(("", "html", "body"))
 _CONTROLS = frozenset(("button", "label"))
 _WORD = re.compile(r"[^\W\d_]+")
+_TOKEN = re.compile(r"\w+|[^\w\s]")
 #: Words of a paragraph that may be a notice with a counter or a date.
 NOTICE_WORDS = 4
 #: The same in a box inside the article, where notices are sentences.
 BOXED_WORDS = 12
-#: Largest table of covered units that is sent to every executor.
+#: Pages that are looked at together.
+CHUNK = 1000
+#: Largest table of covered pieces that is sent to every executor.
 BROADCAST_BYTES = 64 << 20
 
 
-def _symbol(text: str, fold: bool = True) -> int:
+def _symbol(text: str) -> int:
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(_DIGITS.sub("0", text.lower()) if fold else text.lower()) - (1 << 63)
+    return xxhash.xxh3_64_intdigest(text.lower().encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def units(block: Block, fold: bool = True) -> list[int]:
-    """Symbols of a block: of its link texts if it is little else, else of the whole."""
-    if len(block.parts) > 1 and sum(map(len, block.parts)) >= 0.6 * len(block.text):
-        return [_symbol(" ".join(p.split()), fold) for p in block.parts if p.strip()]
-    return [_symbol(block.text, fold)]
+#: Numbers of the tokens that this worker has seen.
+_TOKENS = Tokens()
+
+
+def units(block: Block, fold: bool = True) -> list[list[int]]:
+    """Token numbers of a block's units: of its link texts if it is little else, else of the whole."""
+    linked = len(block.parts) > 1 and sum(map(len, block.parts)) >= 0.6 * len(block.text)
+    found = []
+    for text in (" ".join(p.split()) for p in block.parts if not p.isspace()) if linked else (block.text,):
+        low = text.lower()
+        found.append([_TOKENS[t] for t in _TOKEN.findall(_DIGITS.sub("0", low) if fold else low)])
+    return [u for u in found if u]
 
 
 def heading(blocks: list[Block], boxes: list[Box]) -> tuple[int, int]:
@@ -92,8 +105,8 @@ def within(home: int, parents: list[int]) -> list[bool]:
     return result
 
 
-def page_units(blocks: list[Block], boxes: list[Box], top: int, home: int) -> list[list[int]]:
-    """Symbols per block; see the module's text for which blocks have their digits folded."""
+def page_units(blocks: list[Block], boxes: list[Box], top: int, home: int) -> list[list[list[int]]]:
+    """Units per block; see the module's text for which blocks have their digits folded."""
     inner = within(home, [x.parent for x in boxes])
     flat = home >= 0 and boxes[home].tag in _FLAT
     result = []
@@ -109,7 +122,7 @@ def page_units(blocks: list[Block], boxes: list[Box], top: int, home: int) -> li
 
 
 PARSED = (
-    "_id string, grp long, doc long, texts array<string>, elements array<string>, inside array<int>, units array<long>, n_units array<int>,"
+    "_id string, grp long, doc long, texts array<string>, elements array<string>, inside array<int>, tokens binary, n_tokens int, n_units array<int>,"
     " tags array<string>, firsts array<int>, lasts array<int>, parents array<int>, top int, home int, title long, noscript string"
 )
 
@@ -117,7 +130,7 @@ PARSED = (
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per write: its blocks with their units, its boxes, and the text for lack of scripts."""
     whole = [pa.int32(), pa.int32(), pa.int64()]
-    kinds = [pa.list_(k) for k in (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32())] + whole
+    kinds = [pa.list_(k) for k in (pa.string(), pa.string(), pa.int32())] + [pa.binary(), pa.int32()] + [pa.list_(k) for k in (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32())] + whole
     for batch in batches:
         columns: list[list] = [[] for _ in kinds]
         hidden = []
@@ -126,10 +139,14 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blocks, boxes = parse(page)
             top, home = heading(blocks, boxes)
             own = page_units(blocks, boxes, top, home)
+            stream = [EDGE]
+            for unit in (u for us in own for u in us):
+                stream.extend(unit)
+                stream.append(EDGE)
             row = (
-                [b.text for b in blocks], [b.element for b in blocks], [b.box for b in blocks], [u for us in own for u in us], [len(us) for us in own],
+                [b.text for b in blocks], [b.element for b in blocks], [b.box for b in blocks], packed(stream), len(stream), [len(us) for us in own],
                 [x.tag for x in boxes], [x.first for x in boxes], [x.last for x in boxes], [x.parent for x in boxes],
-                top, home, _symbol(blocks[top].text, False) if top >= 0 else 0,
+                top, home, _symbol(blocks[top].text) if top >= 0 else 0,
             )
             for column, item in zip(columns, row, strict=True):
                 column.append(item)
@@ -138,7 +155,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, names=_NAMES)
 
 
-_NAMES = "_id grp doc texts elements inside units n_units tags firsts lasts parents top home title noscript".split()
+_NAMES = "_id grp doc texts elements inside tokens n_tokens n_units tags firsts lasts parents top home title noscript".split()
 
 
 @dataclass(slots=True)
@@ -149,10 +166,9 @@ class Kept:
     element: str
 
 
-def main_blocks(page: dict, covered) -> list[Kept]:
-    """The blocks of the main body; ``covered`` tells of a symbol whether it is boilerplate."""
+def main_blocks(page: dict, known: list[bool]) -> list[Kept]:
+    """The blocks of the main body; ``known`` tells of every unit whether it is boilerplate."""
     shared, at = [], 0
-    known = list(map(covered, page["units"]))
     for n in page["n_units"]:
         shared.append(sum(known[at : at + n]) >= 0.7 * n)
         at += n
@@ -195,67 +211,59 @@ def parsed(pages: DataFrame) -> DataFrame:
     return staged(spread(keyed).mapInArrow(_parsed, PARSED), "parsed")
 
 
-def boilerplate(parsed: DataFrame, share: float = 0.05, min_pages: int = 3) -> DataFrame:
-    """``grp, symbol``: the units that enough distinct articles of the host share.
-
-    Units are made distinct per article and counted with partial aggregation, so neither a common
-    unit nor an article with many copies meets in one task.
-    """
+def boilerplate(parsed: DataFrame, share: float = 0.05, min_articles: int = 3, **options) -> DataFrame:
+    """``grp, symbol``: the pieces of token runs that enough distinct articles of the host share."""
     pages = parsed.select("grp", "title", "doc").distinct()
     sizes = pages.groupBy("grp").agg(F.count_distinct("doc").alias("pages"))
     titles = pages.groupBy("grp", "title").agg(F.count(F.lit(1)).alias("n")).join(sizes, "grp")
-    names = staged(titles.where("2 * n > pages").where(F.col("pages") >= min_pages).select(F.col("grp").alias("of"), F.col("title").alias("name")), "names")
-    named = parsed.join(bounded_broadcast(names, 32), F.expr("grp = of AND title = name"), "left").select(
-        "grp", F.when(F.col("name").isNull(), F.xxhash64("title")).otherwise(F.col("doc")).alias("article"), "units"
+    names = staged(titles.where("2 * n > pages").where(F.col("pages") >= min_articles).select(F.col("grp").alias("of"), F.col("title").alias("name")), "names")
+    streams = parsed.join(bounded_broadcast(names, 32), F.expr("grp = of AND title = name"), "left").select(
+        "grp", F.when(F.col("name").isNull(), F.xxhash64("title")).otherwise(F.col("doc")).alias("article"), "doc", "n_tokens", "tokens"
     )
-    floors = named.select("grp", "article").distinct().groupBy("grp").agg(F.greatest(F.lit(min_pages), F.ceil(F.count(F.lit(1)) * share)).alias("floor"))
-    single = named.select("grp", "article", F.explode(F.array_distinct("units")).alias("symbol")).distinct()
-    counts = single.groupBy("grp", "symbol").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    return staged(counts.join(floors, "grp").where("n >= floor").select("grp", "symbol"), "covered")
-
-
-class Covered:
-    """Covered units of all hosts, each mixed with its host."""
+    return staged(covered_pieces(streams, share, min_articles, **options), "covered")
 
-    def __init__(self, keys: np.ndarray):
-        self.keys = set(keys.tolist())
 
-    def of(self, grp: int):
-        keys, mask = self.keys, (grp * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
-        return lambda symbol: ((symbol & 0xFFFFFFFFFFFFFFFF) ^ mask) in keys
-
-
-def mixed_keys(grp: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return symbol.astype(np.int64).view(np.uint64) ^ (grp.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-def each_main(parsed: DataFrame, covered: DataFrame, per_page, schema: str, limit_bytes: int = BROADCAST_BYTES, spare=lambda page: page["noscript"]) -> DataFrame:
+def each_main(
+    parsed: DataFrame, covered: DataFrame, per_page, schema: str, limit_bytes: int = BROADCAST_BYTES, spare=lambda page: page["noscript"], salt_pages: int = 20_000
+) -> DataFrame:
     """Apply ``per_page(_id, main blocks, spare text) -> rows`` to every write; ``spare`` is the noscript text if nothing else is given.
 
-    The covered units are sent to all executors if their counted size allows it; else they are
-    joined per host, each host's list being bounded by units per page over the share.
+    The covered pieces are sent to all executors if their counted size allows it; else they are
+    joined per host, each host's list being bounded by tokens per page over the share. A host's pages
+    are then spread over as many salts as it has ``salt_pages``.
     """
     names = [part.split()[0] for part in schema.split(",")]
-    needed = ["texts", "elements", "inside", "units", "n_units", "tags", "firsts", "lasts", "parents", "top", "home"]
-
-    def rows(batches, known):
-        for batch in batches:
-            out = []
-            for page in batch.to_pylist():
-                test = known.of(page["grp"]) if known is not None else set(page["own"] or ()).__contains__
-                out.extend(per_page(page["_id"], main_blocks(page, test), spare(page)))
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=_arrow(schema))
-
-    columns = ["_id", "grp", *needed, "noscript"]
+    needed = ["texts", "elements", "inside", "n_units", "tags", "firsts", "lasts", "parents", "top", "home"]
+
+    def rows(batches, keys):
+        for whole in batches:
+            for at in range(0, whole.num_rows, CHUNK):
+                batch = whole.slice(at, CHUNK)
+                grp = batch.column("grp").to_numpy()
+                known, n = units_covered(*unpacked(batch.column("tokens")), grp, _own_keys(batch, grp) if keys is None else keys)
+                pages = batch.drop_columns(["tokens", "grp", *(["own"] if keys is None else [])]).to_pylist()
+                out, ends = [], np.cumsum(n)
+                for page, start, end in zip(pages, ends - n, ends, strict=True):
+                    out.extend(per_page(page["_id"], main_blocks(page, known[start:end].tolist()), spare(page)))
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=_arrow(schema))
+
+    columns = ["_id", "grp", "tokens", *needed, "noscript"]
     if covered.count() * 100 <= limit_bytes:
         table = covered.toArrow()
-        held = parsed.sparkSession.sparkContext.broadcast(mixed_keys(table.column("grp").to_numpy(), table.column("symbol").to_numpy()))
-        return parsed.select(*columns).mapInArrow(lambda it: rows(it, Covered(held.value)), schema)
-    salts = 32
-    lists = covered.groupBy("grp").agg(F.collect_list("symbol").alias("own")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = parsed.withColumn("salt", F.pmod("doc", F.lit(salts)).cast("int")).join(lists, ["grp", "salt"], "left")
-    return joined.select(*columns, "own").mapInArrow(lambda it: rows(it, None), schema)
+        held = parsed.sparkSession.sparkContext.broadcast(np.sort(mixed(table.column("grp").to_numpy(), table.column("symbol").to_numpy())))
+        return parsed.select(*columns).mapInArrow(lambda it: rows(it, held.value), schema)
+    salts = staged(parsed.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / salt_pages).alias("salts")), "salts")
+    lists = covered.groupBy("grp").agg(F.collect_list("symbol").alias("own")).join(salts, "grp").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    hot = salts.where("salts > 1").select(F.col("grp").alias("of"), "salts")
+    spread_out = parsed.join(bounded_broadcast(hot, 24), F.expr("grp = of"), "left").withColumn("salt", F.coalesce(F.pmod("doc", "salts"), F.lit(0)))
+    return spread_out.join(lists, ["grp", "salt"], "left").select(*columns, "own").mapInArrow(lambda it: rows(it, None), schema)
+
+
+def _own_keys(batch: pa.RecordBatch, grp: np.ndarray) -> np.ndarray:
+    """The sorted names of the covered pieces of all hosts in a batch of the join's rows."""
+    _, first = np.unique(grp, return_index=True)
+    lists = [mixed(np.full(len(own), grp[k]), np.array(own, dtype=np.int64)) for k in first.tolist() if (own := batch.column("own")[k].as_py())]
+    return np.sort(np.concatenate(lists)) if lists else np.zeros(0, dtype=np.uint64)
 
 
 def _arrow(schema: str) -> pa.Schema:

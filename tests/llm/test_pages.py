@@ -1,6 +1,9 @@
+import random
+
+import numpy as np
 import pytest
 
-from loresift.llm import main_text, residue
+from loresift.llm import main_text, residue, tokenruns
 from loresift.llm.pages import parse
 from loresift.llm.residue import SLOT, ExemplarIndex, terms
 
@@ -132,3 +135,59 @@ def test_repeated_residue(spark, times):
         bad = [k for k in range(40) if (k % 3 == 0 if times == 3 else k % 10 < 7)]
         rows = [(f"{k}", f"u{k}", plain(k, error if k in bad else f"<h1>{word(k)}</h1><p>The dam of {word(k)} keeps three generators below its eastern wall.</p>"), None, "h", 1, None, "c") for k in range(40)]
         assert sorted(int(r._id) for r in residue.residue_writes(spark.createDataFrame(rows, PAGE)).collect()) == bad
+
+
+def test_changing_word(spark):
+    """A notice that holds another word on every page: no unit of it repeats, its token runs do."""
+    notice = "<div><p>This page was last brought up to date by the editor {w} of the northern circle.</p></div>"
+    rows = [(f"{k}", f"u{k}", plain(k, f"<h1>{word(k)}</h1><p>The dam of {word(k)} is old.</p><p>It stands alone.</p>", notice.format(w=word(k + 7))), None, "h", k, None, "c") for k in range(40)]
+    texts = {int(r._id): r.text.split("\n") for r in main_text.main_texts(spark.createDataFrame(rows, PAGE)).collect()}
+    assert all(texts[k][:2] == [word(k), f"The dam of {word(k)} is old."] and not any("editor" in x for x in texts[k]) for k in range(40))
+
+
+def brute_pieces(streams, floor):
+    """Names of the pieces on at least ``floor`` articles, by looking at every place."""
+    held = {}
+    for article, stream in streams:
+        for at, token in enumerate(stream[:-1]):
+            end = stream.index(tokenruns.EDGE, at + 1) + 1
+            size = min(end - at, tokenruns.PIECE) if token == tokenruns.EDGE else tokenruns.PIECE
+            if at + size <= end:
+                held.setdefault(tuple(stream[at : at + size]), set()).add(article)
+    flat = [p for p, own in held.items() if len(own) >= floor]
+    return {int(tokenruns.names(np.array(p, dtype=np.uint32), np.array([0]), np.array([len(p)]))[0]) for p in flat}
+
+
+@pytest.mark.parametrize("part_tokens", [1 << 20, 600])
+def test_pieces_equal_counting(spark, part_tokens):
+    """Also where a host, and one article with many copies, is dealt over many parts."""
+    rng = random.Random(3)
+    rows, seen = [], {1: [], 2: []}
+    notice = [rng.randint(50, 99) for _ in range(14)]
+    for doc in range(300):
+        grp, article = (1 if doc % 3 else 2), (7 if doc % 4 == 0 else doc)
+        stream = [tokenruns.EDGE]
+        for _ in range(rng.randint(1, 4)):
+            stream += [rng.randint(1, 9) for _ in range(rng.randint(1, 3))] if rng.random() < 0.7 else notice[: rng.randint(6, 14)] + [1000 + doc]
+            stream.append(tokenruns.EDGE)
+        if article == 7:
+            stream += [*range(200, 212), tokenruns.EDGE]
+        seen[grp].append((article, stream))
+        rows.append((grp, article, doc, len(stream), bytearray(tokenruns.packed(stream))))
+    frame = spark.createDataFrame(rows, "grp long, article long, doc long, n_tokens int, tokens binary")
+    got = {(r.grp, r.symbol) for r in tokenruns.covered_pieces(frame, 0.05, 3, part_tokens).collect()}
+    want = {(g, s) for g, streams in seen.items() for s in brute_pieces(streams, max(3, -(-len({a for a, _ in streams}) // 20)))}
+    assert got == want and len(want) > 20
+
+
+def test_suffix_array():
+    rng = np.random.default_rng(1)
+    tokens = rng.integers(0, 3, 400).astype(np.uint32)
+    starts = np.arange(0, 400, 3)
+    order, lcp = tokenruns.suffix_array(tokens, starts, 6)
+    cut = [tuple(tokens[k : k + 8]) for k in order]
+    assert sorted(order) == starts.tolist() and [c[:6] for c in cut] == sorted(c[:6] for c in cut)
+    for k in range(1, len(order)):
+        a, b = cut[k - 1], cut[k]
+        same = next((n for n, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        assert lcp[k] == same
