@@ -3,7 +3,8 @@
 Method: each source's documents become sequences of line identifiers; suffix arrays over them
 (``suffix.common_prefixes``) give every block of consecutive lines that several documents share,
 through common prefixes of neighbouring suffixes; blocks in at least ``min_documents`` documents of
-the source are deleted. A line counts as repeated if it opens such a block, of one line or more.
+the source are deleted. A block may be a single line, and of a longer block every tail repeats as
+well, so the lines that open a block are the lines of all blocks.
 
 Defined results: documents with null source or null or empty text repeat nothing and stay as they
 are; a line counts once per document; repeated rows of one document are one document.
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread, staged
-from .suffix import common_prefixes
+from .suffix import common_prefixes, maximal_runs, repeated_places
 
 #: White space as Python's str.split sees it (fixed by the problem statement's wording).
 SPACE = "[\\s\\x1c-\\x1f\\x85\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
@@ -43,21 +44,17 @@ def bounded_broadcast(small: DataFrame, row_bytes: int, limit_bytes: int = 16 <<
 
 
 def repeated_blocks(documents: DataFrame, min_documents: int = 5, min_chars: int = 25, **options) -> tuple[DataFrame, DataFrame]:
-    """``(sequences, blocks)``, both written once; see ``suffix.common_prefixes`` for the blocks."""
+    """``(places, blocks)``, both written once; see ``suffix`` for their columns."""
     sequences = staged(line_sequences(documents, min_chars), "lines")
-    return sequences, staged(common_prefixes(sequences, min_documents, **options), "blocks")
+    places = repeated_places(sequences, min_documents)
+    return places, staged(common_prefixes(places, min_documents, **options), "blocks")
 
 
 def repeated_lines(documents: DataFrame, min_documents: int = 5, min_chars: int = 25, **options) -> DataFrame:
-    """``doc_id, line_no`` of every line that opens or continues a repeated block.
-
-    A block's second line opens the block's tail, which is as frequent, so looking at the first
-    symbols of all blocks covers every line of every block.
-    """
-    sequences, blocks = repeated_blocks(documents, min_documents, min_chars, **options)
-    marked = bounded_broadcast(blocks.where("length = 1").select("grp", F.col("first").alias("symbol")), 32)
-    lines = sequences.select("grp", "doc", F.posexplode("symbols").alias("at", "symbol")).where(F.col("symbol").isNotNull())
-    return lines.join(marked, ["grp", "symbol"]).select(F.col("doc").alias("doc_id"), (F.col("at") + 1).alias("line_no")).distinct()
+    """``doc_id, line_no`` of every line of a repeated block."""
+    places, blocks = repeated_blocks(documents, min_documents, min_chars, **options)
+    opening = bounded_broadcast(blocks.where("length = 1").select("grp", F.col("first").alias("symbol")), 32)
+    return places.join(opening, ["grp", "symbol"]).select(F.col("doc").alias("doc_id"), (F.col("at") + 1).alias("line_no")).distinct()
 
 
 def without_repeated_lines(documents: DataFrame, min_documents: int = 5, min_chars: int = 25, **options) -> DataFrame:
@@ -73,9 +70,7 @@ def without_repeated_lines(documents: DataFrame, min_documents: int = 5, min_cha
 
 
 def maximal_blocks(documents: DataFrame, min_documents: int = 5, min_chars: int = 25, **options) -> DataFrame:
-    """``source, length, documents, occurrences, first``: blocks of two lines and more that no block
-    of the same start and frequency extends."""
-    _, blocks = repeated_blocks(documents, min_documents, min_chars, parents=True, **options)
-    longer = blocks.select("grp", F.col("parent").alias("prefix"), "documents").distinct()
-    best = blocks.where("length >= 2").join(longer, ["grp", "prefix", "documents"], "left_anti")
-    return best.select("grp", "first", "length", "documents", "occurrences", "prefix")
+    """``grp, first, length, documents, occurrences, prefix``: repeated blocks of two lines and more that
+    no longer repeated block contains wherever they occur."""
+    _, blocks = repeated_blocks(documents, min_documents, min_chars, **options)
+    return maximal_runs(blocks).select("grp", "first", "length", "documents", "occurrences", "prefix")

@@ -1,13 +1,14 @@
 """Repeated runs of symbols in groups of documents, by suffix arrays that no task must hold whole.
 
-A document is a sequence of symbols (line or block identifiers). All suffixes of all documents of a
-group, sorted, are its suffix array; a run of symbols that several documents share is a common
-prefix of neighbours in it. Every repeated run begins with a symbol that itself occurs in several
-documents, so only suffixes that begin with such a symbol are sorted, cut at ``depth`` symbols. The
-array is built in parts: all suffixes of one group that begin with one symbol lie in one part, and
-where such a bundle exceeds ``bundle_rows`` it is dealt over several parts by document. A part sorts
-its suffixes, takes the longest common prefixes of neighbours and reports for every common prefix in
-how many documents it occurs; as a document never lies in two parts of a bundle, the reports add up.
+A document is a sequence of symbols (line identifiers). All suffixes of all documents of a group, sorted,
+are its suffix array; a run of symbols that several documents share is a common prefix of neighbours
+in it. Every repeated run begins with a symbol that itself occurs in several documents, so only suffixes
+that begin with such a symbol are sorted. The array is built in parts: all suffixes of one group that
+begin with one symbol lie in one part, and where such a bundle exceeds ``bundle_rows`` it is dealt over
+several parts by document. A part receives the repeated stretches of a document once, however many of
+its suffixes it sorts, and sorts symbol by symbol, each time only what is still tied with others; a run
+may have any length. For a common prefix it reports in how many documents it occurs; as a document never
+lies in two parts of a bundle, the reports of dealt bundles add up.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REPORT = "grp long, first long, parent long, prefix long, length int, documents long, occurrences long"
+from ..session import staged
 
-#: Salts of the lookup of counts: a symbol that a third of all rows hold is spread over so many.
-SALTS = 32
+REPORT = "grp long, first long, parent long, prefix long, length int, documents long, occurrences long, low long, high long"
+_LOWEST, _HIGHEST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 def _mix(prefix: np.ndarray, symbol: np.ndarray) -> np.ndarray:
@@ -35,117 +36,111 @@ def _mix(prefix: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def prefix_hashes(symbols: np.ndarray) -> np.ndarray:
-    """Per row of a suffix matrix the hashes of its prefixes of length 1, 2, ..."""
-    out = np.empty_like(symbols)
-    state = np.zeros(len(symbols), dtype=np.int64)
-    for k in range(symbols.shape[1]):
-        state = _mix(state, symbols[:, k])
-        out[:, k] = state
-    return out
+def prefix_hash(symbols: list[int]) -> int:
+    """The hash of a run."""
+    state = np.zeros(1, dtype=np.int64)
+    for symbol in symbols:
+        state = _mix(state, np.array([symbol], dtype=np.int64))
+    return int(state[0])
 
 
-def _report(grp: np.ndarray, doc: np.ndarray, matrix: np.ndarray, real: np.ndarray) -> list[np.ndarray]:
-    """Sort suffixes, compare neighbours, and count documents for every common prefix.
+def _report(grp, doc, symbol, joined, own, hot, min_documents: int) -> Iterator[list[np.ndarray]]:
+    """Sort the suffixes at the ``own`` places by one more symbol at a time and yield the common prefixes.
 
-    ``matrix`` holds the symbols, ``real`` how many of each row exist. Prefixes of one symbol are
-    reported even if they occur once here, because another part may hold more.
+    ``joined`` tells whether the next place follows in the same document. Of a bundle that lies here
+    alone, a prefix is dropped if fewer than ``min_documents`` hold it, or if it is longer than one symbol
+    and one longer prefix occurs as often; of a dealt (``hot``) bundle everything is reported.
     """
-    depth = matrix.shape[1]
-    order = np.lexsort((doc, *(matrix[:, k] for k in range(depth - 1, -1, -1)), grp))
-    grp, doc, matrix, real = grp[order], doc[order], matrix[order], real[order]
-    n = len(grp)
-    equal = np.ones(n, dtype=bool)
-    equal[0] = False
-    equal[1:] = grp[1:] == grp[:-1]
-    hashes = prefix_hashes(matrix)
-    columns: list[list[np.ndarray]] = [[] for _ in range(7)]
-    for k in range(depth):  # equal: the longest common prefix with the neighbour above exceeds k
-        equal = equal & np.concatenate(([False], matrix[1:, k] == matrix[:-1, k]))
-        starts = np.flatnonzero(~equal)
-        run = np.cumsum(~equal) - 1
-        lengths = np.diff(np.append(starts, n))
-        by_doc = np.lexsort((doc, run))
-        fresh = np.ones(n, dtype=bool)
-        fresh[1:] = (run[by_doc][1:] != run[by_doc][:-1]) | (doc[by_doc][1:] != doc[by_doc][:-1])
-        documents = np.bincount(run[by_doc][fresh], minlength=len(starts))
-        keep = real[starts] > k
-        if not keep.any():
-            break
+    before = np.concatenate(([False], joined[:-1]))
+    low = np.where(before, np.roll(symbol, 1), _LOWEST)
+    high = np.where(before, np.roll(symbol, 1), _HIGHEST)
+    at, length = np.flatnonzero(own), 1
+    prefix = _mix(np.zeros(len(at), dtype=np.int64), symbol[at])
+    parent = np.zeros(len(at), dtype=np.int64)
+    upper = np.zeros(len(at), dtype=np.int64)  # the row of the shorter prefix in the last report
+    held: list[np.ndarray] | None = None
+    while len(at):
+        _, row = np.unique(_mix(grp[at].copy(), prefix), return_inverse=True)
+        order = np.lexsort((doc[at], row))
+        row, at, prefix, parent, upper = row[order], at[order], prefix[order], parent[order], upper[order]
+        starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        fresh = np.concatenate(([True], (row[1:] != row[:-1]) | (doc[at][1:] != doc[at][:-1])))
+        documents = np.add.reduceat(fresh.astype(np.int64), starts)
+        occurrences = np.diff(np.append(starts, len(at)))
+        if held is not None:
+            alone = ~held[-1]
+            only = np.zeros(len(alone), dtype=bool)
+            only[upper[starts]] = occurrences == held[6][upper[starts]]
+            stays = ~(alone & only) | (held[4] == 1)
+            yield [c[stays] for c in held[:-1]]
+        keep = (documents >= min_documents) | hot[at[starts]]
         s = starts[keep]
-        for column, values in zip(columns, (grp[s], matrix[s, 0], hashes[s, k - 1] if k else np.zeros(len(s), dtype=np.int64), hashes[s, k], np.full(len(s), k + 1, dtype=np.int32), documents[keep], lengths[keep]), strict=True):
-            column.append(values)
-    return [np.concatenate(c) for c in columns]
-
-
-def _parts(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+        held = [grp[at[s]], symbol[at[s]] if length == 1 else held[1][upper[s]], parent[s], prefix[s], np.full(len(s), length, dtype=np.int32), documents[keep], occurrences[keep],
+                np.minimum.reduceat(low[at], starts)[keep], np.maximum.reduceat(high[at], starts)[keep], hot[at[s]]]
+        kept_row = np.cumsum(keep) - 1
+        longer = keep[row] & joined[at + length - 1]
+        at, parent, upper = at[longer], prefix[longer], kept_row[row[longer]]
+        prefix = _mix(parent.copy(), symbol[at + length])
+        length += 1
+    if held is not None:
+        yield held[:-1]
+
+
+def _parts(batches: Iterator[pa.RecordBatch], min_documents: int) -> Iterator[pa.RecordBatch]:
     held = [b for b in batches if b.num_rows]
     if not held:
         return
     rows = pa.Table.from_batches(held).combine_chunks()
-    grp, doc = (rows.column(c).to_numpy() for c in ("grp", "doc"))
-    tails = rows.column("tail").combine_chunks()
-    real = np.minimum(np.diff(tails.offsets.to_numpy()), depth)
-    matrix = np.full((len(grp), depth), -1, dtype=np.int64)
-    flat, base = tails.values.to_numpy(), tails.offsets.to_numpy()[:-1]
-    for k in range(depth):
-        has = real > k
-        matrix[has, k] = flat[base[has] + k]
-    columns = _report(grp, doc, matrix, real)
-    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["grp", "first", "parent", "prefix", "length", "documents", "occurrences"])
-
-
-def repeated_symbols(sequences: DataFrame, min_documents: int, floors: DataFrame | None = None) -> DataFrame:
-    """``grp, first, n``: symbols in at least ``min_documents`` rows of their group, and at least its floor.
-
-    Counted with partial aggregation, so a symbol leaves a task once however common it is.
-    """
-    counts = (
-        sequences.select("grp", F.explode(F.array_distinct("symbols")).alias("first"))
-        .groupBy("grp", "first")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= min_documents)
-    )
-    return counts if floors is None else counts.join(floors, "grp").where("n >= floor").drop("floor")
-
-
-def common_prefixes(
-    sequences: DataFrame, min_documents: int, depth: int = 8, bundle_rows: int = 200_000, part_rows: int = 1_000_000, parts: int | None = None, floors: DataFrame | None = None, parents: bool = False
-) -> DataFrame:
-    """``grp, first, prefix, length, documents, occurrences`` of every run of up to ``depth`` symbols
-    that at least ``min_documents`` documents of its group hold, and at least the ``floor`` that
-    ``floors`` (``grp, floor``) has for the group.
-
-    ``sequences`` has ``grp long, doc long, symbols array<long>``, one or more rows per document.
-    With ``parents`` a column ``parent`` gives the prefix of the run that is one symbol shorter.
-    A null symbol stands for something that is never repeated and ends a run.
+    lists = {c: rows.column(c).combine_chunks() for c in ("places", "symbols", "targets", "hot")}
+    sizes = np.diff(lists["places"].offsets.to_numpy())
+    grp, doc, target = (np.repeat(rows.column(c).to_numpy(), sizes) for c in ("grp", "doc", "target"))
+    places, symbol, targets = (lists[c].flatten().to_numpy() for c in ("places", "symbols", "targets"))
+    hot = lists["hot"].flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    joined = np.append((row[1:] == row[:-1]) & (places[1:] == places[:-1] + 1), False)
+    for columns in _report(grp, doc, symbol, joined, targets == target, hot, min_documents):
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[f.split()[0] for f in REPORT.split(", ")])
+
+
+def repeated_places(sequences: DataFrame, min_documents: int, limit_bytes: int = 16 << 20) -> DataFrame:
+    """``grp, doc, body, at, symbol, n``: every place of a symbol that ``n >= min_documents`` documents of
+    the group hold, written once. Counted with partial aggregation, so a symbol leaves a task once for
+    every document, however often the document has it."""
+    from .lines import bounded_broadcast
+
+    places = sequences.select("grp", "doc", F.xxhash64("symbols").alias("body"), F.posexplode("symbols").alias("at", "symbol")).where(F.col("symbol").isNotNull())
+    counts = places.select("grp", "symbol", "doc").distinct().groupBy("grp", "symbol").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_documents)
+    return staged(places.join(bounded_broadcast(staged(counts, "symbols"), 40, limit_bytes), ["grp", "symbol"]).select("grp", "doc", "body", "at", "symbol", "n"), "places")
+
+
+def common_prefixes(places: DataFrame, min_documents: int, bundle_rows: int = 200_000, part_rows: int = 1_000_000, parts: int | None = None) -> DataFrame:
+    """``grp, first, parent, prefix, length, documents, occurrences, low, high`` of the runs of symbols,
+    of any length, that at least ``min_documents`` documents of their group hold.
+
+    ``places`` is what ``repeated_places`` gives. ``parent`` is the run without its last symbol; ``low``
+    and ``high`` are equal if one symbol stands before every occurrence. Runs longer than one symbol may be
+    missing if a longer one occurs as often.
     """
-    spark = sequences.sparkSession
-    counts = repeated_symbols(sequences, min_documents, floors)
-    salted = counts.select("grp", "first", "n", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    suffixes = sequences.select(
-        "grp",
-        "doc",
-        F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"),
-        F.posexplode("symbols").alias("at", "first"),
-        "symbols",
-    ).where(F.col("first").isNotNull())
-    tails = suffixes.join(salted, ["grp", "first", "salt"]).select(
-        "grp",
-        "doc",
-        "first",
-        # the run ends at the first null or after depth symbols
-        F.expr(f"slice(symbols, at + 1, coalesce(least({int(depth)}, nullif(array_position(transform(slice(symbols, at + 1, {int(depth)}), s -> s is null), true) - 1, -1)), {int(depth)}))").alias("tail"),
-        F.when(F.col("n") > bundle_rows, F.pmod(F.xxhash64("doc", F.lit(7)), F.ceil(F.col("n") / bundle_rows))).otherwise(F.lit(0)).alias("deal"),
-    )
     if parts is None:
-        total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()["rows"]
-        parts = max(int(spark.sparkContext.defaultParallelism), -(-2 * total // part_rows))
-    reports = tails.repartition(parts, "grp", "first", "deal").select("grp", "doc", "tail").mapInArrow(lambda it: _parts(it, depth), REPORT)
-    extra = [F.first("parent").alias("parent")] if parents else []
-    runs = (
+        total = places.count()
+        parts = max(int(places.sparkSession.sparkContext.defaultParallelism), -(-2 * total // part_rows))
+    dealt = F.when(F.col("n") > bundle_rows, F.pmod(F.xxhash64("doc", F.lit(7)), F.ceil(F.col("n") / bundle_rows))).otherwise(F.lit(0))
+    target = F.pmod(F.xxhash64("grp", "symbol", dealt), F.lit(parts)).cast("int")
+    stretch = F.struct("at", "symbol", target.alias("target"), (F.col("n") > bundle_rows).alias("hot"))
+    stretches = places.groupBy("grp", "doc", "body").agg(F.array_sort(F.collect_set(stretch)).alias("s"))
+    shipped = stretches.select(
+        "grp", "doc", F.explode(F.array_distinct("s.target")).alias("target"), F.col("s.at").alias("places"), F.col("s.symbol").alias("symbols"), F.col("s.target").alias("targets"), F.col("s.hot").alias("hot")
+    )
+    reports = shipped.repartition(parts, "target").mapInArrow(lambda it: _parts(it, min_documents), REPORT)
+    return (
         reports.groupBy("grp", "first", "prefix", "length")
-        .agg(F.sum("documents").alias("documents"), F.sum("occurrences").alias("occurrences"), *extra)
+        .agg(F.first("parent").alias("parent"), F.sum("documents").alias("documents"), F.sum("occurrences").alias("occurrences"), F.min("low").alias("low"), F.max("high").alias("high"))
         .where(F.col("documents") >= min_documents)
     )
-    return runs if floors is None else runs.join(floors, "grp").where("documents >= floor").drop("floor")
+
+
+def maximal_runs(runs: DataFrame, least: int = 2) -> DataFrame:
+    """The runs of at least ``least`` symbols that no longer run contains wherever they occur, neither one
+    that goes on further nor one that begins before."""
+    longer = runs.select("grp", F.col("parent").alias("prefix"), "occurrences").distinct()
+    return runs.where((F.col("length") >= least) & (F.col("low") != F.col("high"))).join(longer, ["grp", "prefix", "occurrences"], "left_anti")

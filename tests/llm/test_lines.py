@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 
 from loresift.llm import lines
-from loresift.llm.suffix import common_prefixes, prefix_hashes
+from loresift.llm.suffix import common_prefixes, maximal_runs, prefix_hash, repeated_places
 
 SCHEMA = "doc_id long, source_domain string, text string, grp long, symbols string"
 
@@ -80,23 +80,47 @@ def test_blocks_of_one_start(spark):
     assert got == [(2, 6)] * 3
 
 
-@pytest.mark.parametrize("bundle_rows", [1_000_000, 3])
-def test_common_prefixes_equal_counting(spark, bundle_rows):
-    import numpy as np
+def brute_runs(docs, least):
+    """Occurrences of every run, by looking at all of them."""
+    seen = defaultdict(list)
+    for grp, doc, symbols in docs:
+        for at in range(len(symbols)):
+            for end in range(at + 1, len(symbols) + 1):
+                if None in symbols[at:end]:
+                    break
+                seen[(grp, tuple(symbols[at:end]))].append((doc, symbols[at - 1] if at else None, symbols[end] if end < len(symbols) else None))
+    return {k: v for k, v in seen.items() if len({d for d, _, _ in v}) >= least}
 
+
+@pytest.mark.parametrize("bundle_rows", [1_000_000, 3])
+def test_runs_equal_counting(spark, bundle_rows):
+    """Also where the suffixes of a common symbol are dealt over many parts."""
     rng = random.Random(11)
     docs = [(rng.randint(0, 1), doc, [rng.choice([1, 2, 3, 4, None]) for _ in range(rng.randint(0, 9))]) for doc in range(60)]
-    seen = defaultdict(set)
-    for grp, doc, symbols in docs:
-        for at in range(len(symbols)):
-            for n in range(1, 4):
-                run = symbols[at : at + n]
-                if len(run) == n and None not in run:
-                    seen[(grp, tuple(run))].add(doc)
-    want = {}
-    for (grp, run), own in seen.items():
-        if len(own) >= 4:
-            want[(grp, int(prefix_hashes(np.array([run], dtype=np.int64))[0, -1]), len(run))] = len(own)
+    docs += [(0, doc, [doc, 5, *range(20, 45), 6]) for doc in range(100, 106)]
+    runs = brute_runs(docs, 4)
     frame = spark.createDataFrame(docs, "grp long, doc long, symbols array<long>")
-    got = {(r.grp, r.prefix, r.length): r.documents for r in common_prefixes(frame, 4, depth=3, bundle_rows=bundle_rows, parts=3).collect()}
-    assert got == want
+    found = common_prefixes(repeated_places(frame, 4), 4, bundle_rows=bundle_rows, parts=3)
+    got = {(r.grp, r.prefix, r.length): (r.documents, r.occurrences) for r in maximal_runs(found).collect()}
+
+    def extends(side):
+        return None not in side and len(side) == 1
+
+    want = {
+        (grp, prefix_hash(run), len(run)): (len({d for d, _, _ in own}), len(own))
+        for (grp, run), own in runs.items()
+        if len(run) > 1 and not extends({b for _, b, _ in own}) and not extends({a for _, _, a in own})
+    }
+    assert got == want and (0, prefix_hash([5, *range(20, 45), 6]), 27) in got
+    single = {(r.grp, r.first): r.documents for r in found.where("length = 1").collect()}
+    assert single == {(grp, run[0]): len({d for d, _, _ in own}) for (grp, run), own in runs.items() if len(run) == 1}
+
+
+def test_long_notice(spark):
+    """One notice of twelve lines is one block."""
+    notice = "\n".join(f"line {x} of the notice that stands below every page" for x in "abcdefghijkl")
+    rows = [(k, "s", f"own text of document, long enough {chr(97 + k)}\n{notice}\nanother own line of this one {chr(97 + k)}") for k in range(7)]
+    got = [(r.length, r.documents, r.occurrences) for r in lines.maximal_blocks(frame(spark, rows)).collect()]
+    assert got == [(12, 7, 7)]
+    gone = {r.doc_id: r.text for r in lines.without_repeated_lines(frame(spark, rows)).collect()}
+    assert all(len(t.split("\n")) == 2 for t in gone.values())
