@@ -131,7 +131,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per write: its blocks with their units, its boxes, and the text for lack of scripts."""
     whole = [pa.int32(), pa.int32(), pa.int64()]
     kinds = [pa.list_(k) for k in (pa.string(), pa.string(), pa.int32())] + [pa.binary(), pa.int32()] + [pa.list_(k) for k in (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32())] + whole
-    for batch in batches:
+    for batch in (whole.slice(at, CHUNK) for whole in batches for at in range(0, whole.num_rows, CHUNK)):
         columns: list[list] = [[] for _ in kinds]
         hidden = []
         for value in batch.column("html"):

@@ -37,7 +37,7 @@ PIECE = 6
 #: Bytes of a stored token.
 WIDTH = 3
 #: Tokens that a Python worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 
 class Tokens(dict):
@@ -95,25 +95,29 @@ def names(tokens: np.ndarray, starts: np.ndarray, depths: np.ndarray) -> np.ndar
     return h.view(np.int64)
 
 
+def _ranks(values: np.ndarray) -> np.ndarray:
+    """Ranks from 1, equal for equal values."""
+    return np.unique(values, return_inverse=True)[1].astype(np.int32) + np.int32(1)
+
+
 def suffix_array(tokens: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """``(order, lcp)``: the suffixes at ``starts`` sorted by at least ``depth`` tokens, and the common
     prefix of each with the one before it, cut at what was sorted."""
     n, span = len(tokens), 1
-    levels = [np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1]
+    levels = [_ranks(tokens)]
     while span < depth:
-        rank = levels[-1]
-        after = np.zeros(n, dtype=np.int64)
-        after[:-span] = rank[span:]
-        levels.append(np.unique(rank * (int(rank.max()) + 1) + after, return_inverse=True)[1].astype(np.int64) + 1)
+        rank = levels[-1].astype(np.int64)
+        rank *= int(rank.max()) + 1
+        rank[:-span] += levels[-1][span:]
+        levels.append(_ranks(rank))
         span *= 2
     order = starts[np.argsort(levels[-1][starts], kind="stable")]
     lcp = np.zeros(len(order), dtype=np.int64)
     above, below = order[:-1], order[1:]
     for k in range(len(levels) - 1, -1, -1):
-        padded = np.append(levels[k], np.zeros(span + 1, dtype=np.int64))
-        i, j = above + lcp[1:], below + lcp[1:]
-        same = (padded[i] == padded[j]) & (padded[i] > 0) & (lcp[1:] + (1 << k) <= span)
-        lcp[1:] += same * (1 << k)
+        rank, i, j = levels[k], above + lcp[1:], below + lcp[1:]
+        inside = (i < n) & (j < n) & (lcp[1:] + (1 << k) <= span)
+        lcp[1:] += (inside & (rank[np.minimum(i, n - 1)] == rank[np.minimum(j, n - 1)])) * (1 << k)
     return order, lcp
 
 
@@ -192,7 +196,7 @@ def _reports(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _part(pa.Table.from_batches(held))
 
 
-def covered_pieces(streams: DataFrame, share: float, min_articles: int, part_tokens: int = 1 << 20) -> DataFrame:
+def covered_pieces(streams: DataFrame, share: float, min_articles: int, part_tokens: int = 1 << 19) -> DataFrame:
     """``grp, symbol``: names of the pieces on at least ``share`` of the group's articles.
 
     ``streams`` has ``grp long, article long, doc long, n_tokens int, tokens binary``. Sizes of articles
