@@ -32,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +56,8 @@ _FLAT = frozenset(("", "html", "body"))
 _CONTROLS = frozenset(("button", "label"))
 _WORD = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"\w+|[^\w\s]")
+#: Scripts that write no blanks between words.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3000-\u30ff\u3400-\u9fff\uff00-\uff65]")
 #: Words of a paragraph that may be a notice with a counter or a date.
 NOTICE_WORDS = 4
 #: The same in a box inside the article, where notices are sentences.
@@ -81,7 +84,10 @@ def units(block: Block, fold: bool = True) -> list[list[int]]:
     found = []
     for text in (" ".join(p.split()) for p in block.parts if not p.isspace()) if linked else (block.text,):
         low = text.lower()
-        found.append([_TOKENS[t] for t in _TOKEN.findall(_DIGITS.sub("0", low) if fold else low)])
+        if fold:
+            low = _DIGITS.sub("0", low)
+        words = low.split() if low.isascii() or not _UNSPACED.search(low) else _TOKEN.findall(low)
+        found.append([_TOKENS[t] for t in words])
     return [u for u in found if u]
 
 
@@ -151,10 +157,17 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for column, item in zip(columns, row, strict=True):
                 column.append(item)
             hidden.append("\n".join(" ".join(entities.unescape(_TAG.sub(" ", m)).split()) for m in _NOSCRIPT.findall(page)))
-        arrays = [batch.column(c) for c in ("_id", "grp", "doc")] + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)] + [pa.array(hidden, pa.string())]
+        arrays = [batch.column(c) for c in ("_id", "grp", "doc")] + [_arrow_lists(c, k) for c, k in zip(columns, kinds, strict=True)] + [pa.array(hidden, pa.string())]
         yield pa.RecordBatch.from_arrays(arrays, names=_NAMES)
 
 
+def _arrow_lists(column: list, kind: pa.DataType) -> pa.Array:
+    if not pa.types.is_list(kind):
+        return pa.array(column, kind)
+    ends = np.cumsum([0, *map(len, column)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array([x for own in column for x in own], kind.value_type))
+
+
 _NAMES = "_id grp doc texts elements inside tokens n_tokens n_units tags firsts lasts parents top home title noscript".split()
 
 
@@ -241,13 +254,15 @@ def each_main(
                 batch = whole.slice(at, CHUNK)
                 grp = batch.column("grp").to_numpy()
                 known, n = units_covered(*unpacked(batch.column("tokens")), grp, _own_keys(batch, grp) if keys is None else keys)
-                pages = batch.drop_columns(["tokens", "grp", *(["own"] if keys is None else [])]).to_pylist()
+                columns = [_python(batch.column(c)) for c in taken]
+                pages = [dict(zip(taken, values, strict=True)) for values in zip(*columns, strict=True)]
                 out, ends = [], np.cumsum(n)
                 for page, start, end in zip(pages, ends - n, ends, strict=True):
                     out.extend(per_page(page["_id"], main_blocks(page, known[start:end].tolist()), spare(page)))
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=_arrow(schema))
 
-    columns = ["_id", "grp", "tokens", *needed, "noscript"]
+    taken = ["_id", *needed, "noscript"]
+    columns = [*taken, "grp", "tokens"]
     if covered.count() * 100 <= limit_bytes:
         table = covered.toArrow()
         held = parsed.sparkSession.sparkContext.broadcast(np.sort(mixed(table.column("grp").to_numpy(), table.column("symbol").to_numpy())))
@@ -259,6 +274,15 @@ def each_main(
     return spread_out.join(lists, ["grp", "salt"], "left").select(*columns, "own").mapInArrow(lambda it: rows(it, None), schema)
 
 
+def _python(column: pa.Array) -> list:
+    """The values of a column; lists by slicing their values, which takes far less than one by one."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    values, ends = column.flatten(), np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy()).tolist()
+    flat = values.to_pylist() if pa.types.is_string(values.type) else values.to_numpy().tolist()
+    return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def _own_keys(batch: pa.RecordBatch, grp: np.ndarray) -> np.ndarray:
     """The sorted names of the covered pieces of all hosts in a batch of the join's rows."""
     _, first = np.unique(grp, return_index=True)

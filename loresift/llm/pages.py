@@ -76,26 +76,28 @@ def parse(page: str) -> tuple[list[Block], list[Box]]:
         parts.clear()
 
     for m in _PIECE.finditer(page):
-        if m.start() > at:
-            texts.append(page[at : m.start()])
+        start = m.start()
+        if start > at:
+            texts.append(page[at:start])
         at = m.end()
-        tag = m.group("tag")
+        hides, close, tag, rest = m.groups()
         if tag is None:
-            if m.group("hidden"):
+            if hides and texts:
                 flush()
             continue
         tag = tag.lower()
         if tag in INLINE:
-            if tag == "a" and m.group("close") and texts:
+            if texts and close and tag == "a":
                 parts.append(texts[-1])
             continue
-        flush()
-        if m.group("close"):
+        if texts:
+            flush()
+        if close:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
                     break
-        elif tag not in VOID and not m.group("rest").endswith("/"):
+        elif tag not in VOID and not rest.endswith("/"):
             while len(stack) > 1 and tag in _CLOSED_BY.get(stack[-1][0], ()):
                 stack.pop()
             box = stack[-1][1]

@@ -32,8 +32,10 @@ from .lines import bounded_broadcast
 
 #: The token around units; no word has it.
 EDGE = 0
+#: Stands for tokens that are in no repeated run; no stored token has it.
+RARE = np.uint32(1 << 31)
 #: Tokens of a piece.
-PIECE = 6
+PIECE = 5
 #: Bytes of a stored token.
 WIDTH = 3
 #: Tokens that a Python worker remembers.
@@ -121,11 +123,26 @@ def suffix_array(tokens: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np
     return order, lcp
 
 
+def without_rare(tokens: np.ndarray, ends: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(tokens, ends, place)``: the streams with each row of tokens that occur too seldom as one ``RARE``,
+    and where each token stood. No repeated run holds such a token, so they need not be sorted."""
+    _, number, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+    rare = (counts < least)[number] & (tokens != EDGE)
+    place = np.flatnonzero(~rare | ~np.concatenate(([False], rare[:-1])))
+    kept = np.where(rare, RARE, tokens)[place]
+    return kept, np.searchsorted(place, ends), place
+
+
 def shared(tokens: np.ndarray, ends: np.ndarray, owner: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Every piece that at least ``least`` owners of streams hold: ``(names, group, holder)``, the names
     by number of the piece, then one entry per piece and owner."""
-    starts, depths = pieces(tokens, ends)
     none = np.zeros(0, dtype=np.int64)
+    original = tokens
+    tokens, ends, place = without_rare(tokens, ends, least)
+    starts, depths = pieces(tokens, ends)
+    clear = np.concatenate(([0], np.cumsum(tokens == RARE)))
+    usable = clear[starts + depths] == clear[starts]
+    starts, depths = starts[usable], depths[usable]
     if not len(starts):
         return none, none, none
     deep = np.zeros(len(tokens), dtype=np.int64)
@@ -146,7 +163,7 @@ def shared(tokens: np.ndarray, ends: np.ndarray, owner: np.ndarray, least: float
     group, pair, first = group[keep], pair[keep], first[keep]
     _, heads, group = np.unique(group, return_index=True, return_inverse=True)
     at = order[first[heads]]
-    return names(tokens, at, deep[at]), group, owners[pair % len(owners)]
+    return names(original, place[at], deep[at]), group, owners[pair % len(owners)]
 
 
 _REPORT = "grp long, symbol long, article long, n long"
