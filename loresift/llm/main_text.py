@@ -291,7 +291,7 @@ def _own_keys(batch: pa.RecordBatch, grp: np.ndarray) -> np.ndarray:
 
 
 def _arrow(schema: str) -> pa.Schema:
-    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32())}
     return pa.schema([(n, kinds[k]) for n, k in (p.split() for p in schema.split(","))])
 
 

@@ -8,7 +8,9 @@ share of the window's weight they cover. Windows that are covered almost wholly
 Where nothing but headings remains of a page, its noscript text and all that it shows are looked at
 too: a message that a host serves on most of its pages counts as boilerplate there.
 
-Inverse document frequencies come from all writes. Terms outside the index weigh as much as a term
+Windows of which less than half of the terms are in the index weigh too little and are dropped where the
+body is read, so the text is read once and only the other windows are kept, with the exemplar terms of
+every write. Inverse document frequencies come from all writes. Terms outside the index weigh as much as a term
 that occurs once: an article that merely mentions an error message holds enough of them around it.
 
 Defined results: null html gives no case; an empty page without any text gives none; repeated
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +37,10 @@ _SLOT_SIGNS = re.compile(r"[{\[<%@#]|__")
 _TERM = re.compile(f"{SLOT}|[\\u3040-\\u30ff\\u3400-\\u9fff]+|[^\\W\\d_]+")
 _WIDE = re.compile("[\\u3040-\\u30ff\\u3400-\\u9fff]")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])")
-#: Marks the lines of headings in stored bodies.
-HEADING = "\x02"
-#: Separates the parts of a stored body that are looked at one by one.
-PART = "\x03"
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Stands between the terms of a kept window, whose first says what kind it is.
+BLANK = " "
+WHOLE, PASSAGE = "body", "passage"
 #: Terms of a body that is compared as a whole.
 SHORT_BODY = 40
 #: Neighbouring sentences below so many terms are also looked at as a pair.
@@ -61,6 +63,10 @@ def terms(text: str) -> list[str]:
     return result
 
 
+_TERMS = sorted({t for x in EXEMPLARS for t in terms(x)})
+_NUMBERS = {t: k for k, t in enumerate(_TERMS)}
+
+
 class ExemplarIndex:
     """The inverted index with weights."""
 
@@ -94,83 +100,81 @@ class ExemplarIndex:
             left = {t for t in left if best not in self.postings[t]}
         return covered / total, covered
 
-    def is_residue(self, body: str, threshold: float) -> bool:
-        lines = [x for x in body.split("\n") if x.strip(HEADING + " ")]
-        whole = terms(" ".join(lines))
-        if not whole:
-            return False
-        if len(whole) <= SHORT_BODY and self.containment(whole, 3)[0] >= threshold:
-            return True
-        for line in lines:
-            if line.startswith(HEADING):
-                continue
-            sentences = []
-            for sentence in _SENTENCE.split(line):
-                found = terms(sentence)
-                sentences.append((found, sum(map(self.postings.__contains__, found))))
-            for k, (window, known) in enumerate(sentences):
-                if self._covers(window, known, threshold):
-                    return True
-                if k and len(window) < SHORT_SENTENCE and len(sentences[k - 1][0]) < SHORT_SENTENCE:
-                    before = sentences[k - 1]
-                    if self._covers(before[0] + window, before[1] + known, threshold):
-                        return True
-        return False
-
-    def _covers(self, window: list[str], known: int, threshold: float) -> bool:
-        """Whether one exemplar covers the window; terms outside the index weigh at least as much
-        as those in it, so a window that is mostly unknown is settled by counting."""
-        if 2 * known < len(window) or (len(window) < 3 and SLOT not in window):
-            return False
-        share, covered = self.containment(window, 1)
+    def covers(self, window: str, threshold: float) -> bool:
+        """Whether exemplars cover a window: three of them a whole body, one a passage."""
+        kind, *found = window.split(BLANK)
+        if kind == WHOLE:
+            return self.containment(found, 3)[0] >= threshold
+        share, covered = self.containment(found, 1)
         return share >= threshold and covered >= self.unknown / 2
 
 
-def _lines(blocks: Iterable[tuple[str, str]]) -> str:
-    return "\n".join((HEADING if element in ("h1", "h2", "h3", "h4", "h5", "h6") else "") + text for text, element in blocks)
-
-
-def _spare(page: dict) -> str:
-    """The noscript text and all blocks of a page, for pages without article text."""
-    return page["noscript"] + PART + _lines(zip(page["texts"], page["elements"], strict=True))
-
-
-def _body(key: str, blocks, spare: str):
-    text = _lines((b.text, b.element) for b in blocks)
-    article = any(not x.startswith(HEADING) for x in text.split("\n")) and text
-    return [(key, text if article else text + PART + spare)]
-
-
-def _frequencies(batches: Iterator[pa.RecordBatch], known: frozenset[str]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[str] = Counter()
-    for batch in batches:
-        for body in batch.column("body").to_pylist():
-            counts.update(known.intersection(terms(body or "")))
-    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+def windows(lines: list[tuple[bool, str]]) -> tuple[list[str], set[int]]:
+    """The windows of a text that may be residue, and the numbers of its exemplar terms; ``lines`` tells
+    of each line whether it is a heading."""
+    out, known, size = [], set(), 0
+    for heading, line in lines:
+        last: tuple[list[str], int] = ([], 0)
+        for sentence in _SENTENCE.split(line):
+            found = terms(sentence)
+            size += len(found)
+            numbers = [k for k in map(_NUMBERS.get, found) if k is not None]
+            known.update(numbers)
+            n = len(numbers)
+            if heading:
+                continue
+            pair = 0 < len(last[0]) + len(found) and len(last[0]) < SHORT_SENTENCE and len(found) < SHORT_SENTENCE
+            for window, part in ((found, n), (last[0] + found, last[1] + n)) if pair and last[0] else ((found, n),):
+                if window and 2 * part >= len(window) and (len(window) >= 3 or SLOT in window):
+                    out.append(BLANK.join((PASSAGE, *window)))
+            last = (found, n)
+    if size <= 2 * SHORT_BODY:
+        whole = terms(" ".join(x for _, x in lines))
+        if whole and len(whole) <= SHORT_BODY and 2 * sum(t in _NUMBERS for t in whole) >= len(whole):
+            out.append(BLANK.join((WHOLE, *whole)))
+    return out, known
+
+
+def _read(key: str, blocks, spare) -> list[tuple]:
+    """Windows and terms of a main body, and of what stands in its place if it has no article text."""
+    lines = [(b.element in _HEADINGS, b.text) for b in blocks]
+    parts = [lines]
+    if all(heading for heading, _ in lines):
+        parts += spare()
+    found, known = [], set()
+    for part in parts:
+        more, numbers = windows(part)
+        found += more
+        known |= numbers
+    return [(key, found, sorted(known))]
+
+
+def _spare(page: dict):
+    """The noscript text and all blocks of a page, when they are asked for."""
+    return lambda: [[(False, x) for x in page["noscript"].split("\n")], [(e in _HEADINGS, t) for t, e in zip(page["texts"], page["elements"], strict=True)]]
 
 
 def _mark(batches: Iterator[pa.RecordBatch], index: ExemplarIndex, threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hit = [any(index.is_residue(part, threshold) for part in (body or "").split(PART)) for body in batch.column("body").to_pylist()]
+        hit = [any(index.covers(window, threshold) for window in found) for found in batch.column("windows").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("_id").filter(pa.array(hit, pa.bool_()))], names=["_id"])
 
 
-def bodies(pages: DataFrame, **options) -> DataFrame:
-    """``_id, body``: the main text of every write, headings marked, written once."""
+def read_bodies(pages: DataFrame, **options) -> DataFrame:
+    """``_id, windows, known`` of the main body of every write, written once."""
     table = parsed(pages)
-    return staged(each_main(table, boilerplate(table, **options), _body, "_id string,body string", spare=_spare), "bodies")
+    return staged(each_main(table, boilerplate(table, **options), _read, "_id string, windows array<string>, known array<int>", spare=_spare), "bodies")
 
 
 def residue_index(bodies: DataFrame) -> ExemplarIndex:
     """The index, weighted by how many writes hold each exemplar term. As many rows as terms
     reach the driver."""
-    known = frozenset(t for x in EXEMPLARS for t in terms(x))
-    counts = bodies.mapInArrow(lambda it: _frequencies(it, known), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    return ExemplarIndex({r.term: r.n for r in counts}, bodies.count())
+    counts = bodies.select(F.explode("known").alias("number")).groupBy("number").agg(F.count(F.lit(1)).alias("n")).collect()
+    return ExemplarIndex({_TERMS[r.number]: r.n for r in counts}, bodies.count())
 
 
 def residue_writes(pages: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
     """``_id`` of every write to exclude."""
-    stored = bodies(pages, **options)
+    stored = read_bodies(pages, **options)
     index = pages.sparkSession.sparkContext.broadcast(residue_index(stored))
-    return stored.mapInArrow(lambda it: _mark(it, index.value, threshold), "_id string").distinct()
+    return stored.where(F.size("windows") > 0).select("_id", "windows").mapInArrow(lambda it: _mark(it, index.value, threshold), "_id string").distinct()
