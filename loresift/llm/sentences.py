@@ -3,7 +3,12 @@
 Method: semi-Markov dynamic programming. Within a line, every place where a sentence might end is a
 candidate. The best cut of the line is the sequence of whole spans with the greatest total score,
 where a span is scored jointly by its length, its opening words, its closing words, the candidates
-it passes over, and whether its quotation marks and brackets are balanced.
+it passes over, and whether it holds whole quotations and brackets.
+
+A quotation or bracket with words before it in its sentence, or with the sentence going on behind it,
+belongs to that sentence, whatever it holds: a span loses for each of its ends that lies inside one. A
+quotation that makes sentences of its own is cut like other text. Marks without a partner in their line
+say nothing.
 
 Defined results: null and empty texts have no sentences; a line break always ends a sentence; white
 space around a line belongs to none; a blank ends a sentence in Thai.
@@ -13,6 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,7 +49,10 @@ MONTHS = frozenset(
 _STOPS = ".!?…。！？｡．؟۔।॥։።"
 _WIDE = "。！？｡"
 _CLOSERS = "\"'”’»)]）】」』›〉》“"
-_PAIRS = {"«": "»", "“": "”", "„": "“", "‘": "’", "(": ")", "[": "]", "（": "）", "「": "」", "『": "』", "【": "】", "《": "》"}
+_PAIRS = {"«": "»", "“": "”", "„": "“”", "(": ")", "[": "]", "（": "）", "「": "」", "『": "』", "【": "】", "《": "》"}
+_ENDING = {c for closing in _PAIRS.values() for c in closing}
+#: Letters with which a sentence goes on after a quotation, in scripts without case.
+_PARTICLES = "とっ的はがをにのもや"
 _CANDIDATE = re.compile(f"[{re.escape(_STOPS)}]+[{re.escape(_CLOSERS)}]*(?:[ \\u00a0\\u202f]+[»”])*")
 _BEFORE = re.compile(r"[^\s\"'“”„«»()\[\]（）「」]+$")
 _FIRST = re.compile(r"[^\s]+")
@@ -63,7 +72,7 @@ class _Line:
         places = sorted({end: (stop, end) for stop, end in places if end < len(line)}.values(), key=lambda p: p[1])
         self.cuts = [(0, 0), *places, (len(line), len(line))]
         self.weight = [0.0, *(self._weight(stop, end) for stop, end in places), 0.0]
-        self.depth = self._depths()
+        self.inside = self._insides()
 
     def _open_after(self, stop: int, end: int) -> bool:
         """A boundary needs white space after it, unless the script writes none."""
@@ -100,7 +109,7 @@ class _Line:
             opening += -3.0 if after.islower() and lead not in "(" else 0.0
         elif lead.isdigit():
             opening = 0.5
-        elif closed and line[end : end + 1] in ("と", "っ", "的", "は", "が", "を", "に", "の", "も"):
+        elif closed and line[end : end + 1] in tuple(_PARTICLES):
             opening = -8.0
         else:
             opening = 1.0
@@ -132,19 +141,42 @@ class _Line:
             return -9.0
         return 2.5
 
-    def _depths(self) -> list[tuple[int, ...]]:
-        """Per cut the number of open pairs, and the parity of straight quotation marks."""
-        result, at, stack, straight = [], 0, [], 0
-        for _, end in self.cuts:
-            for c in self.line[at:end]:
-                if stack and c == stack[-1]:
-                    stack.pop()
-                elif c in _PAIRS and c != "‘":
-                    stack.append(_PAIRS[c])
-                elif c == '"':
-                    straight ^= 1
-            at = end
-            result.append((len(stack), straight))
+    def _pairs(self) -> list[tuple[int, int]]:
+        """Places of the opening and closing marks of quotations and brackets."""
+        found, stack, straight = [], [], -1
+        for at, c in enumerate(self.line):
+            if c == '"':
+                if straight >= 0:
+                    found.append((straight, at))
+                straight = -1 if straight >= 0 else at
+            elif c in _ENDING and (top := next((k for k in range(len(stack) - 1, -1, -1) if c in stack[k][1]), -1)) >= 0:
+                found.append((stack[top][0], at))
+                del stack[top:]
+            elif c in _PAIRS:
+                stack.append((at, _PAIRS[c]))
+        return found
+
+    def _belongs(self, start: int, end: int) -> bool:
+        """Whether what stands between two marks is part of a sentence around it."""
+        line = self.line
+        before = line[:start].rstrip()
+        if before and before[-1] not in _STOPS + _CLOSERS and not _BULLET.fullmatch(before):
+            return True
+        within = line[start + 1 : end].rstrip()
+        if not within or within[-1] not in _STOPS + _CLOSERS:
+            return True
+        after = line[end + 1 :].lstrip()
+        return bool(after) and (after[0].islower() or after[0] in ",;:—–-，、；：" + _PARTICLES)
+
+    def _insides(self) -> list[int]:
+        """Per cut the number of quotations and brackets of a sentence that it lies in."""
+        result = [0] * len(self.cuts)
+        ends = [end for _, end in self.cuts]
+        for start, end in self._pairs():
+            first, last = bisect_right(ends, start), bisect_right(ends, end)
+            if first < last and self._belongs(start, end):
+                for k in range(first, last):
+                    result[k] += 1
         return result
 
     def best(self) -> list[int]:
@@ -178,8 +210,7 @@ class _Line:
     def _span(self, i: int, j: int, passed: list[float]) -> float:
         value = self.weight[j]
         value -= passed[j - 1] - passed[i]  # candidates inside that would have ended a sentence
-        if self.depth[i] != self.depth[j] and j < len(self.cuts) - 1:
-            value -= 9.0
+        value -= 9.0 * (self.inside[i] + self.inside[j])  # quotations and brackets that it holds in part
         size = self._size(i, j)
         if not any(c.isalnum() for c in self.line[self.cuts[i][1] : self.cuts[j][1]]):
             value -= 6.0

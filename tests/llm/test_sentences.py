@@ -56,3 +56,29 @@ def test_long_reach():
     line = "The list names " + "J. K. L. " * 20 + "Dunhar and nobody else. Then the next one begins."
     first = line.index(" Then")
     assert spans(line) == [(0, first), (first + 1, len(line))]
+
+
+QUOTED = [
+    ['He said "We go now. They ran. All hid." and left.', "Then rain fell."],
+    ['"We go now. They ran. All hid," said Mo.', '"It is late."', "Rain fell."],
+    ["Er rief: „Wir gehen jetzt. Sie liefen. Alle flohen.“ und ging.", "Dann kam Regen."],
+    ["Il cria « Nous partons. Ils courent ! Tous fuient. » avant de partir.", "Puis vint la pluie."],
+    ["Он сказал: «Мы идём. Они бежали. Все скрылись.», и ушёл.", "Потом пошёл дождь."],
+    ["Dijo «Nos vamos. Corrieron. Todos huyeron.» y se fue.", "Luego llovió."],
+    ["The gate (See the map. It is old. Nobody knows.) is shut.", "Go on."],
+    ['"We go now.', "They ran.", 'All hid."', "Then rain fell."],
+    ['The open mark " means nothing.', "Then rain fell.", "All hid."],
+]
+
+
+@pytest.mark.parametrize("case", QUOTED, ids=range(len(QUOTED)))
+def test_quotations(case):
+    """Quotations of several sentences inside a sentence, quotations of their own, a lone mark."""
+    text = " ".join(case)
+    assert [text[a:b] for a, b in spans(text)] == case
+
+
+def test_unspaced_quotations():
+    for case in (["彼は「行こう。走れ。隠れろ。」と言った。", "雨が降った。"], ["他说：「走吧。快跑。藏好」，然后离开了。", "下雨了。"]):
+        text = "".join(case)
+        assert [text[a:b] for a, b in spans(text)] == case
