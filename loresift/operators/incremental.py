@@ -1,30 +1,37 @@
 """Processing only new or changed records (problem 5).
 
-The source is an append log of writes; the commit log tells what earlier runs delivered. A run
-
-1. fixes an upper bound at its start (the greatest committed sequence number it can see) and never
-   looks beyond it, so that writes arriving meanwhile belong to the next run;
-2. reads the high watermark of the last *successful* commit, ignoring what failed runs left behind;
-3. emits exactly the pages whose current write differs from what the commits up to that watermark
-   delivered;
-4. publishes its output and its new watermark in one atomic step: a commit file that names both,
-   created with put-if-absent. Output without a commit file does not exist for any reader.
+The source is an append log of writes whose sequence grows with every commit to it; the commit log of
+this job tells what its earlier runs delivered. A run
+
+1. fixes an upper bound at its start (the greatest sequence number it can see, and the last run on
+   record) and never looks beyond it, so that writes arriving meanwhile belong to the next run;
+2. reads the high watermark of its last commit, and of the log only what came after it; what failed runs
+   left behind has no commit and is never seen;
+3. merges that with the narrow state of the last commit (page, current write, hash delivered) and marks
+   exactly the pages whose current write differs from what was delivered;
+4. publishes its output, the new state and the new watermark in one atomic step: a commit file that
+   names them, created only if no other run took its number.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEY = ["url", "source_domain"]
 
 
-def current_state(writes: DataFrame) -> DataFrame:
-    """``url, source_domain, current_md5``: the MD5 of the html of each page's current write.
+_AT = "struct<known: boolean, ts: bigint, id: string>"
+
+
+def current_writes(writes: DataFrame) -> DataFrame:
+    """``url, source_domain, at, current_md5``: place in time and MD5 of each page's current write.
 
     The current write has the greatest ``(timestamp, _id)``; a null timestamp is the oldest. Writes
     with null html are ignored, repeated deliveries of one write change nothing, null keys form a
@@ -33,13 +40,18 @@ def current_state(writes: DataFrame) -> DataFrame:
     order = F.struct(F.col("timestamp").isNotNull().alias("known"), F.col("timestamp").alias("ts"), F.col("_id").alias("id"))
     return (
         writes.where(F.col("html").isNotNull())
-        .select(*KEY, order.alias("at"), F.md5("html").alias("md5"))
+        .select(*KEY, order.cast(_AT).alias("at"), F.md5("html").alias("md5"))
         .groupBy(*KEY)
         .agg(F.max(F.struct("at", "md5")).alias("last"))
-        .select(*KEY, F.col("last.md5").alias("current_md5"))
+        .select(*KEY, "last.at", F.col("last.md5").alias("current_md5"))
     )
 
 
+def current_state(writes: DataFrame) -> DataFrame:
+    """``url, source_domain, current_md5`` of each page's current write."""
+    return current_writes(writes).select(*KEY, "current_md5")
+
+
 def run_bounds(runs: DataFrame) -> tuple[int | None, int]:
     """``(low, upper)``: the last successful run and the last run of any status, fixed once."""
     row = runs.agg(F.max(F.when(F.col("status") == "success", F.col("run_id"))).alias("low"), F.max("run_id").alias("upper")).first()
@@ -47,7 +59,7 @@ def run_bounds(runs: DataFrame) -> tuple[int | None, int]:
 
 
 def delivered_state(runs: DataFrame, entries: DataFrame, low: int | None = None) -> DataFrame:
-    """``url, source_domain, content_hash`` as of the last successful run that delivered the page.
+    """``url, source_domain, run, content_hash`` as of the last successful run that delivered the page.
 
     Entries of failed or unknown runs are no deliveries, nor is anything beyond the watermark
     ``low`` where one is given. Repeated entries of one run collapse to one; were two of one run to
@@ -60,7 +72,7 @@ def delivered_state(runs: DataFrame, entries: DataFrame, low: int | None = None)
         entries.join(done, "run_id", "left_semi")
         .groupBy(*KEY)
         .agg(F.max(F.struct("run_id", "timestamp", "content_hash")).alias("last"))
-        .select(*KEY, F.col("last.content_hash").alias("content_hash"))
+        .select(*KEY, F.col("last.run_id").cast("long").alias("run"), F.col("last.content_hash").alias("content_hash"))
     )
 
 
@@ -114,7 +126,11 @@ class CommitLog:
         return sorted(found, key=lambda c: c.number)
 
     def publish(self, commit: Commit) -> bool:
-        """Create the commit file unless another run took its number; the rename is the commit."""
+        """Create the commit file unless another run took its number; False if one did.
+
+        The file is complete before it gets its name, and getting the name is one step that fails if
+        the name is taken: a hard link on a local disk, a rename without overwriting elsewhere.
+        """
         staging = self._path(f"{self.root}/_commits/.{uuid.uuid4().hex}")
         stream = self._fs.create(staging)
         try:
@@ -122,10 +138,23 @@ class CommitLog:
         finally:
             stream.close()
         final = self._path(f"{self.root}/_commits/{commit.number:09d}.json")
-        if self._fs.exists(final) or not self._fs.rename(staging, final):
+        if self._fs.getScheme() == "file":
+            try:
+                os.link(staging.toUri().getPath(), final.toUri().getPath())
+                return True
+            except FileExistsError:
+                return False
+            finally:
+                self._fs.delete(staging, False)
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            context.rename(staging, final, self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+            return True
+        except Py4JJavaError as error:
             self._fs.delete(staging, False)
-            return False
-        return True
+            if "FileAlreadyExists" in str(error.java_exception):
+                return False
+            raise
 
 
 class IncrementalJob:
@@ -168,16 +197,60 @@ class IncrementalJob:
         return self.spark.read.parquet(*paths)
 
 
-def export_changes(spark: SparkSession, root: str, writes: DataFrame, runs: DataFrame, entries: DataFrame) -> DataFrame:
-    """Deliver the changed pages as one commit under ``root`` and return what was published.
+#: Milliseconds that a log told by file times is read again, for clocks that differ. Reading a write
+#: again changes nothing, as the state decides what is delivered.
+OVERLAP_MS = 3_600_000
 
-    The bounds are read once, before anything else; output and watermark become visible together.
+
+def with_file_times(writes: DataFrame) -> DataFrame:
+    """Scanned ``writes`` with ``sequence``: the time at which its file was added to the log. Filters on
+    it leave out whole files before they are opened."""
+    return writes.select("*", F.col("_metadata.file_modification_time").alias("sequence"))
+
+
+def export_changes(spark: SparkSession, root: str, writes: DataFrame, runs: DataFrame, entries: DataFrame, sequence: str = "sequence", overlap: int = 0) -> DataFrame:
+    """Deliver the new and changed pages as one commit under ``root`` and return what was published:
+    ``url, source_domain, current_md5, content_hash``.
+
+    ``runs`` and ``entries`` are the record of other exports; whatever has the greatest run number, one
+    of theirs or a commit under ``root``, tells what was delivered of a page. ``sequence`` names a column
+    of ``writes``, a number or a time, that grows with every commit to the log; writes down to ``overlap`` below the watermark
+    are read again, and all of them if there is no such column (the watermark is then the last run on record). Defined results: a second run without new writes delivers nothing; a run that died
+    before its commit is as if it never was; of two runs at once one raises and delivers nothing; empty
+    writes deliver nothing.
     """
-    low, upper = run_bounds(runs)
     log = CommitLog(spark, root)
+    done = log.commits()
+    _, last_run = run_bounds(runs)
+    number = max(last_run, done[-1].number if done else 0) + 1
+    if sequence in writes.columns:
+        mark = done[-1].watermark if done else None
+        timed = writes.schema[sequence].dataType.typeName() == "timestamp"
+        bound = (lambda n: F.timestamp_millis(F.lit(n))) if timed else F.lit
+        if mark is not None:
+            writes = writes.where(F.col(sequence) > bound(mark - overlap))
+        top = writes.agg(F.max(F.unix_millis(sequence) if timed else sequence).alias("top")).first()["top"]
+        upper = max(x for x in (top, mark, -1) if x is not None)
+        writes = writes.where(F.col(sequence) <= bound(upper + timed))  # times are cut to milliseconds
+    else:
+        upper = last_run
+    now = current_writes(writes)
+    then = delivered_state(runs.where(F.col("run_id") <= last_run), entries)
+    if done:
+        state = spark.read.parquet(f"{done[-1].output}")
+        now = now.unionByName(state.select(*KEY, "at", "current_md5")).groupBy(*KEY).agg(F.max(F.struct("at", "current_md5")).alias("w")).select(*KEY, "w.*")
+        own = state.select(*KEY, F.col("delivered_run").alias("run"), F.col("delivered_md5").alias("content_hash"))
+        then = then.unionByName(own).groupBy(*KEY).agg(F.max(F.struct("run", "content_hash")).alias("d")).select(*KEY, "d.*")
+    n, d = now.alias("n"), then.alias("d")
+    same = F.lit(True)
+    for key in KEY:
+        same = same & F.col(f"n.{key}").eqNullSafe(F.col(f"d.{key}"))
+    changed = ~F.col("n.current_md5").eqNullSafe(F.col("d.content_hash"))
     output = f"{root.rstrip('/')}/data/{uuid.uuid4().hex}"
-    changed_pages(writes, runs, entries, low).write.parquet(output)
-    number = max([upper, *(c.number for c in log.commits())]) + 1
+    n.join(d, same, "left").select(
+        *[F.col(f"n.{k}") for k in KEY], "at", "current_md5", "content_hash", changed.alias("changed"),
+        F.when(changed, F.lit(number)).otherwise(F.col("run")).cast("long").alias("delivered_run"), F.col("current_md5").alias("delivered_md5"),
+    ).write.parquet(output)
     if not log.publish(Commit(number, upper, output)):
         raise RuntimeError("another run committed first; run again")
-    return spark.read.parquet(output)
+    return spark.read.parquet(output).where("changed").select(*KEY, "current_md5", "content_hash")

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.incremental import export_changes
+from ..operators.incremental import OVERLAP_MS, export_changes, with_file_times
 from ..session import table, work_path
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     writes, runs, entries = (table(spark, folder, t) for t in ("crawled_pages", "export_runs", "export_entries"))
-    return export_changes(spark, work_path(spark, "p5"), writes, runs, entries).select("url", "source_domain")
+    return export_changes(spark, work_path(spark, "p5"), with_file_times(writes), runs, entries, overlap=OVERLAP_MS).select("url", "source_domain")
 
 
 QUERIES = {"p5_found": p5_found}

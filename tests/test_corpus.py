@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from loresift.functions import html, urls
 from loresift.operators import curate, links, store
-from loresift.operators.incremental import CommitLog, IncrementalJob, changed_pages, export_changes
+from loresift.operators.incremental import Commit, CommitLog, IncrementalJob, changed_pages, export_changes, with_file_times
 from loresift.sources import (
     read_document_table,
     read_documents_jsonl,
@@ -145,6 +145,95 @@ def test_export_changes_publishes_once(spark, tmp_path):
     assert (commit.number, commit.watermark) == (8, 7)
 
 
+def test_export_changes_exactly_once(spark, tmp_path, monkeypatch):
+    runs = spark.createDataFrame([(4, "success", 0, 1)], "run_id int, status string, started long, finished long")
+    entries = spark.createDataFrame([(4, "b", "d", 1, "0" * 32)], "run_id int, url string, source_domain string, timestamp long, content_hash string")
+    rows = [("1", "a", "x", "d", 5), ("2", "b", "y", "d", 5), ("3", "e", "z", None, None)]
+    sequenced = lambda *parts: writes(spark, [r for p in parts for r in p]).withColumn("sequence", F.col("_id").cast("long"))
+    root = f"file://{tmp_path}/export"
+    run = lambda log, **options: {(r.url, r.source_domain) for r in export_changes(spark, root, log, runs, entries, **options).collect()}
+    assert run(sequenced(rows)) == {("a", "d"), ("b", "d"), ("e", None)}
+    assert run(sequenced(rows)) == set()
+    # a late write of a, a new one of b, a page of its own, and one that repeats what was delivered
+    more = [("4", "a", "late", "d", 4), ("5", "b", "y2", "d", 6), ("6", "g", "g", "d", 1), ("7", "e", "z", None, 9)]
+    with monkeypatch.context() as broken:
+        broken.setattr(CommitLog, "publish", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            run(sequenced(rows, more))
+    assert run(sequenced(rows, more)) == {("b", "d"), ("g", "d")}  # the run that died is done again
+    assert run(sequenced(rows, more), overlap=100) == set()
+    assert run(sequenced(rows, more).drop("sequence")) == set()
+    assert run(sequenced(rows, more).limit(0)) == set()
+    # a successful run of the record delivered g meanwhile, in another version
+    later = spark.createDataFrame([(99, "success", 0, 1)], runs.schema)
+    other = spark.createDataFrame([(99, "g", "d", 1, "1" * 32)], entries.schema)
+    assert [(r.url, r.source_domain) for r in export_changes(spark, root, sequenced(rows, more), runs.union(later), entries.union(other)).collect()] == [("g", "d")]
+
+
+def test_two_publishers(spark, tmp_path, monkeypatch):
+    """Of two runs that fix the same number, one delivers and one raises."""
+    root = f"file://{tmp_path}/export"
+    log = CommitLog(spark, root)
+    commit = Commit(3, 7, "somewhere")
+    assert [log.publish(commit), log.publish(commit)] == [True, False]
+    assert [f.name for f in (tmp_path / "export" / "_commits").iterdir() if f.suffix == ".json"] == ["000000003.json"]
+    hidden = CommitLog.commits
+    monkeypatch.setattr(CommitLog, "commits", lambda self: hidden(self)[:-1])  # as seen before the other one committed
+    runs = spark.createDataFrame([(2, "success", 0, 1)], "run_id int, status string, started long, finished long")
+    entries = spark.createDataFrame([], "run_id int, url string, source_domain string, timestamp long, content_hash string")
+    with pytest.raises(RuntimeError):
+        export_changes(spark, root, writes(spark, [("1", "a", "x", "d", 5)]), runs, entries)
+
+
+def test_publish_by_rename(spark, tmp_path, monkeypatch):
+    """On file systems other than a local disk."""
+    log = CommitLog(spark, f"file://{tmp_path}/log")
+
+    class Other:
+        def __init__(self, own):
+            self.own = own
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+        def getScheme(self):
+            return "other"
+
+    monkeypatch.setattr(log, "_fs", Other(log._fs))
+    assert [log.publish(Commit(1, 5, "a")), log.publish(Commit(1, 6, "b"))] == [True, False]
+    assert [c.output for c in log.commits()] == ["a"]
+
+
+def test_file_times_bound_a_run(spark, tmp_path):
+    """A log of parquet files: files that come later belong to the next run, which reads no others."""
+    import os
+
+    root, folder = f"file://{tmp_path}/export", tmp_path / "log"
+    runs = spark.createDataFrame([], "run_id int, status string, started long, finished long")
+    entries = spark.createDataFrame([], "run_id int, url string, source_domain string, timestamp long, content_hash string")
+
+    def add(name, rows, when):
+        writes(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/new")
+        (part,) = (tmp_path / "new").glob("*.parquet")
+        folder.mkdir(exist_ok=True)
+        part.rename(folder / f"{name}.parquet")
+        os.utime(folder / f"{name}.parquet", (when, when))
+        __import__("shutil").rmtree(tmp_path / "new")
+
+    def run():
+        return sorted(r.url for r in export_changes(spark, root, with_file_times(spark.read.parquet(str(folder))), runs, entries).collect())
+
+    add("one", [("1", "a", "x", "d", 1), ("2", "b", "y", "d", 1)], 1000)
+    assert run() == ["a", "b"] and run() == []
+    add("two", [("3", "b", "y2", "d", 2), ("4", "c", "z", "d", 1), ("5", "a", "late", "d", None)], 2000)
+    (folder / "one.parquet").write_bytes(b"no parquet any more")  # must not be opened again
+    os.utime(folder / "one.parquet", (1000, 1000))
+    (folder / ".one.parquet.crc").unlink(missing_ok=True)
+    read = spark.read.schema(PAGE).parquet(str(folder))
+    assert sorted(r.url for r in export_changes(spark, root, with_file_times(read), runs, entries).collect()) == ["b", "c"]
+    assert CommitLog(spark, root).commits()[-1].watermark == 2_000_000
+
+
 def test_store(spark, tmp_path):
     pages = store.PageStore(spark, f"file://{tmp_path}/store")
     assert pages.read() is None
