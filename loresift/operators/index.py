@@ -22,27 +22,57 @@ _STOP = frozenset(STOP_WORDS)
 
 @dataclass
 class Index:
-    """``docs(doc_id, url, title, doc_len)``, ``postings(term, doc_id, tf)``."""
+    """``docs(doc_id, url, title, doc_len)``, ``postings(term, doc_id, tf)``, ``terms(term, df)``, and the
+    one row ``totals(size, documents, postings, vocabulary)``. What a search needs besides postings and
+    documents is stored with them and not counted again."""
 
     docs: DataFrame
     postings: DataFrame
+    terms: DataFrame | None = None
+    totals: DataFrame | None = None
 
     def vocabulary(self) -> DataFrame:
         """``term, df``."""
-        return self.postings.groupBy("term").agg(F.count(F.lit(1)).cast("int").alias("df"))
+        return _document_counts(self.postings) if self.terms is None else self.terms
+
+    def statistics(self) -> DataFrame:
+        """One row: ``size`` is N of the idf, the greatest document id plus one, holes included."""
+        if self.totals is not None:
+            return self.totals
+        sizes = self.docs.agg((F.coalesce(F.max("doc_id"), F.lit(-1)) + 1).alias("size"), F.count(F.lit(1)).alias("documents"))
+        counts = self.vocabulary().agg(F.coalesce(F.sum("df"), F.lit(0)).alias("postings"), F.count(F.lit(1)).alias("vocabulary"))
+        return sizes.crossJoin(F.broadcast(counts))  # one row each
 
     def size(self) -> int:
-        """N of the idf: the greatest document id plus one, holes included."""
-        return (self.docs.agg(F.max("doc_id")).first()[0] or -1) + 1
+        """N of the idf, read once."""
+        if "_size" not in self.__dict__:
+            self._size = self.statistics().first()["size"]
+        return self._size
+
+    def stored(self, write) -> Index:
+        """The index with every part written by ``write(frame, name)``; postings and vocabulary are sorted by
+        term within range partitions, so that term filters skip files."""
+        postings = write(clustered(self.postings), "postings")
+        terms = write(_document_counts(postings).sort("term"), "terms")
+        part = Index(write(self.docs, "docs"), postings, terms)
+        return Index(part.docs, postings, terms, write(part.statistics(), "totals"))
 
     def save(self, path: str) -> None:
-        """Parquet, postings sorted by term within range partitions so that term filters skip files."""
-        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        clustered(self.postings).write.mode("overwrite").parquet(f"{path}/postings")
+        """As parquet folders under ``path``."""
+
+        def write(frame: DataFrame, name: str) -> DataFrame:
+            frame.write.mode("overwrite").parquet(f"{path}/{name}")
+            return frame.sparkSession.read.schema(frame.schema).parquet(f"{path}/{name}")
+
+        self.stored(write)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
-        return Index(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings"))
+        return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("docs", "postings", "terms", "totals")))
+
+
+def _document_counts(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count(F.lit(1)).cast("int").alias("df"))
 
 
 def indexed(documents: DataFrame) -> DataFrame:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.stem import stem_sql, stems
 from ..functions.text import STOP_WORDS, tokenize
 from ..operators import evaluate, search
-from ..operators.index import Index, build_index, build_statistics, clustered, indexed, raw_token_rows, term_frequencies, token_counts, zipf
+from ..operators.index import Index, build_index, build_statistics, indexed, raw_token_rows, term_frequencies, token_counts, zipf
 from ..operators.query import And, Everything, Leaf, Minus, Or, holds_without_terms, query_terms, tree
-from ..session import staged, table
+from ..session import file_state, staged, table
 
 #: Boolean queries on words of the test collection, one for each rule of the algebra.
 BOOLEAN = {
@@ -35,11 +35,10 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def index_of(spark: SparkSession, folder: str) -> Index:
-    """The index of the folder's documents, written once per session."""
-    key = (spark.sparkContext.applicationId, folder)
+    """The index of the folder's documents, written once per session and state of their files."""
+    key = (spark.sparkContext.applicationId, folder, file_state(spark, f"{folder}/documents.parquet"))
     if key not in _built:
-        built = build_index(documents(spark, folder))
-        _built[key] = Index(built.docs, staged(clustered(built.postings), "postings"))
+        _built[key] = build_index(documents(spark, folder)).stored(staged)
     return _built[key]
 
 

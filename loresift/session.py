@@ -33,6 +33,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def file_state(spark: SparkSession, path: str) -> tuple:
+    """Name, size and time of a table's files: equal as long as the table is unchanged."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scanned ``df`` over all cores where it has fewer partitions than that, as a small table in
     one file has; large tables pass unchanged and are not shuffled. Anything but a scan passes

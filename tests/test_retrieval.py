@@ -154,3 +154,29 @@ def test_grades(spark):
     assert got[(1, 1)] == 3 and got[(1, 2)] == 1 and got[(2, 4)] == 1
     assert got[(3, 1)] == 3 and (3, 4) not in got and (3, 3) not in got
     assert docs.select(occurrences(F.lit("aaaa"), "aa").alias("n")).first().n == len(re.findall("aa", "aaaa"))
+
+
+def test_long_queries_in_a_batch(spark):
+    """More terms than one word of a mask holds, with a NOT beyond it."""
+    words = ["".join(chr(97 + (k // 26**p) % 26) for p in (2, 1, 0)) + "zor" for k in range(70)]
+    rows = [(0, "u0", "t", " ".join(words)), (1, "u1", "t", " ".join(words[:69]) + " filler word of some length"), (2, "u2", "t", " ".join(words[5:]) + " " + words[64])]
+    index = build_index(spark.createDataFrame(rows, "doc_id long, url string, title string, text string"))
+    both = {1: " AND ".join(words[:69]), 2: " OR ".join(words) + " NOT " + words[69], 3: words[64] + " NOT " + words[0]}
+    got = {}
+    for r in search.search_many(index, both).collect():
+        got.setdefault(r.qid, {})[r.doc_id] = r.score
+    for qid, query in both.items():
+        assert got.get(qid, {}) == {r.doc_id: r.score for r in search.search(index, query).collect()}
+    assert set(got[1]) == {0, 1} and set(got[3]) == {2}
+
+
+def test_size_of_small_indexes(spark, tmp_path):
+    schema = "doc_id long, url string, title string, text string"
+    text = "a generator below the eastern wall of the northern dam"
+    one = build_index(spark.createDataFrame([(0, "u", "t", text)], schema))
+    assert one.size() == 1 and build_index(spark.createDataFrame([], schema)).size() == 0
+    one.save(f"{tmp_path}/index")
+    loaded = Index.load(spark, f"{tmp_path}/index")
+    row = loaded.statistics().first()
+    assert (row["size"], row.documents, row.postings, row.vocabulary) == (1, 1, 6, 6)
+    assert search.search(loaded, "dam").collect() == search.search(one, "dam").collect()
