@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from urllib.parse import parse_qsl, urlencode
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: scheme, authority, path, query, fragment.
 URI = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -50,28 +46,82 @@ def normalize_export(url: Column) -> Column:
     return F.when(trimmed == "", F.lit("")).otherwise(_joined(F.lower(part(trimmed, 1)), F.lower(part(trimmed, 2)), short))
 
 
-@F.pandas_udf(T.StringType())
-def _sorted_query(query: pd.Series) -> pd.Series:
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: Stands between the parts of a split url; no url holds it.
+_BAR = "\x01"
+
+
+def parts(url: Column) -> Column:
+    """Scheme, authority, path, query and fragment of a url as one array, by one pass over it."""
+    return F.split(F.regexp_replace(url, URI, _BAR.join(f"${k}" for k in range(1, 6))), _BAR)
+
+
+def _decoded(text: Column) -> Column:
+    """A piece of a query string without escapes; one with broken escapes as it is."""
+    return F.coalesce(F.try_url_decode(text), text)
+
+
+def _encoded(text: Column) -> Column:
+    return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def sorted_query(query: Column) -> Column:
     """Query string with its keys in order, repeated keys together, blanks kept, encoded anew."""
 
-    def one(q: str) -> str:
-        groups: dict[str, list[str]] = {}
-        for key, value in parse_qsl(q, keep_blank_values=True):
-            groups.setdefault(key, []).append(value)
-        return urlencode(sorted(groups.items()), doseq=True)
+    def pair(text: Column, at: Column) -> Column:
+        key = F.substring_index(text, "=", 1)
+        value = F.when(text.contains("="), F.substr(text, F.length(key) + 2)).otherwise("")
+        return F.struct(_decoded(key).alias("key"), at.alias("at"), _decoded(value).alias("value"))
 
-    return query.map(lambda q: one(q) if q else q)
+    given = F.filter(F.split(query, "&"), lambda x: x != "")
+    pairs = F.array_sort(F.transform(given, pair))
+    return F.array_join(F.transform(pairs, lambda p: F.concat(_encoded(p["key"]), F.lit("="), _encoded(p["value"]))), "&")
 
 
 def normalize_crawl(url: Column) -> Column:
     """Scheme and authority in lower case, no trailing slash except for the root, sorted query, no
-    fragment. Only urls with a query pass through Python."""
+    fragment."""
     text = F.coalesce(url, F.lit(""))
-    path = part(text, 3)
+    return F.when(text == "", F.lit("")).otherwise(let(parts(text), normalized))
+
+
+def normalized(pieces: Column) -> Column:
+    """The normalised url from its ``parts``."""
+    path, query = pieces[2], pieces[3]
     short = F.when(path == "/", path).otherwise(F.regexp_replace(path, "/+$", ""))
-    query = part(text, 4)
-    base = _joined(F.lower(part(text, 1)), F.lower(part(text, 2)), short)
-    return F.when(text == "", F.lit("")).when(query == "", base).otherwise(F.concat(base, F.lit("?"), _sorted_query(query)))
+    base = _joined(F.lower(pieces[0]), F.lower(pieces[1]), short)
+    return F.when(query == "", base).otherwise(F.concat(base, F.lit("?"), sorted_query(query)))
+
+
+def unescaped(text: Column) -> Column:
+    """Text of an attribute with the character references that urls hold resolved."""
+    for name, value in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(value))
+    return text
+
+
+def joined(base: Column, href: Column) -> Column:
+    """A relative reference resolved against a base url, by the rules of RFC 3986; ``base`` and ``href``
+    are ``parts``. Empty segments inside the merged path are dropped."""
+    whole = F.concat(F.when(base[0] != "", F.concat(base[0], F.lit(":"))).otherwise(""), F.lit("//"), base[1])
+
+    def merged(segments: Column) -> Column:
+        inner = F.filter(segments, lambda x, k: (x != "") | (k == 0) | (k == F.size(segments) - 1))
+        resolved = F.aggregate(
+            inner, F.array().cast("array<string>"),
+            lambda done, x: F.when(x == "..", F.when(F.size(done) > 0, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(done)).when(x == ".", done).otherwise(F.concat(done, F.array(x))),
+        )
+        tail = F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        return F.array_join(F.concat(resolved, tail), "/")
+
+    full = F.when(href[2].startswith("/"), href[2]).otherwise(F.concat(F.regexp_replace(base[2], "[^/]*$", ""), href[2]))
+    path = let(let(F.split(full, "/"), merged), lambda p: F.when(p == "", "/").when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p)))
+    query = F.when(href[3] != "", F.concat(F.lit("?"), href[3])).when((href[2] == "") & (base[3] != ""), F.concat(F.lit("?"), base[3])).otherwise("")
+    return F.concat(whole, F.when(href[2] == "", base[2]).otherwise(path), query)
 
 
 def is_noise(url: Column) -> Column:

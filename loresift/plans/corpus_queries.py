@@ -11,7 +11,7 @@ from ..streaming.ingest import ingest
 
 #: The moment that ages are counted from.
 NOW = 1_790_000_000
-SEED_DEPTH = 2
+SEED_DEPTH = 3
 
 
 def pages(spark, folder):
@@ -91,7 +91,11 @@ def change_detection(spark, folder):
 
 
 def page_lookup(spark, folder):
-    return store.lookup(store.latest(pages(spark, folder)), "https://lore00.kelashbritun.example/").select("url", "source_domain")
+    """The stored page whose url comes first; both of its keys are asked for."""
+    first = pages(spark, folder).where("url IS NOT NULL AND source_domain IS NOT NULL").agg(F.min(F.struct("url", "source_domain")).alias("k")).first().k
+    if first is None:
+        return pages(spark, folder).limit(0).select("url", "source_domain", "_id")
+    return store.lookup(store.latest(pages(spark, folder)), first.url, first.source_domain).select("url", "source_domain", "_id")
 
 
 def count_by_source(spark, folder):
@@ -127,19 +131,50 @@ def link_domains(spark, folder):
     return found.groupBy(urls.domain(F.col("link")).alias("domain")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Documents that a made listing names.
+LISTED = 50
+
+
+def with_listings(spark, folder):
+    """``url, html`` of all crawled pages, and of listings as wikis have them: the crawl holds none, so the
+    documents of every source are listed, fifty on a page."""
+    rows = table(spark, folder, "documents").where("source_domain IS NOT NULL").select("source_domain", "doc_id", F.expr(f"doc_id div {LISTED}").alias("k"))
+    items = F.array_join(F.sort_array(F.collect_list(F.concat(F.lit('<li><a href="/wiki/Page_'), "doc_id", F.lit('?b=1&amp;a=2">item</a></li>')))), "")
+    made = rows.groupBy("source_domain", "k").agg(items.alias("items")).select(
+        F.concat(F.lit("https://"), "source_domain", F.lit("/wiki/Category:All/"), "k").alias("url"),
+        F.concat(
+            F.lit('<html><body><ul><li><a href="/wiki/Main">Main</a></li></ul><div class="page category-page__members"><div><ul>'), "items", F.lit('</ul></div><a href="/wiki/Special:Random">random</a></div>'),
+            F.lit('<a href="/wiki/Category:Sub_'), F.expr("k % 7"), F.lit('">sub</a><a class="mw-nextlink" href="/index.php?title=Category:All&amp;pagefrom='), F.expr("k + 1"), F.lit('">next 50</a>'),
+            F.lit('<div><a href="/wiki/Privacy">privacy</a></div></body></html>'),
+        ).alias("html"),
+    )
+    return pages(spark, folder).select("url", "html").unionByName(made)
+
+
 def category_link_extract(spark, folder):
-    return links.category_links(pages(spark, folder))
+    return links.category_links(with_listings(spark, folder))
 
 
 def article_link_extract(spark, folder):
-    return links.article_links(pages(spark, folder))
+    return links.article_links(with_listings(spark, folder))
 
 
 def pagination_next(spark, folder):
-    rows = pages(spark, folder).where("html IS NOT NULL").select("_id", links.next_page(F.col("html"), F.col("url")).alias("next")).distinct()
+    rows = with_listings(spark, folder).where("html IS NOT NULL").select("url", links.next_page(F.col("html"), F.col("url")).alias("next")).distinct()
     return rows.where("next IS NOT NULL")
 
 
+#: Forms of references that a page may hold.
+FORMS = ["/r", "?page=2", "../up", "x/./y", "http://o.example/p/?b=2&a=1", "mailto:a@b", "z#f"]
+
+
+def link_resolve(spark, folder):
+    """Every form of reference, resolved against every url of the documents and normalised."""
+    bases = table(spark, folder, "documents").where(urls.is_valid(F.col("url"))).select("url").distinct()
+    rows = bases.select("url", F.explode(F.array(*map(F.lit, FORMS))).alias("href"))
+    return rows.select("url", "href", urls.normalize_crawl(links.absolute(F.col("href"), F.col("url"))).alias("link"))
+
+
 def bfs_frontier(spark, folder):
     """Depths from the smallest url of every source, over the links of all pages."""
     rows = pages(spark, folder)
@@ -157,7 +192,7 @@ QUERIES = {
     for f in (
         url_normalize_export, url_normalize_crawl, url_domain, url_filter, url_whitelist, url_titles, html_clean, informative_docs, challenge_pages,
         curate_pages, skip_reasons, content_hash, upsert_latest, change_detection, page_lookup, count_by_source, docs_per_day, latest_pages,
-        backfill_domain, crawl_progress, link_extract, link_domains, category_link_extract, article_link_extract, pagination_next, bfs_frontier,
+        backfill_domain, crawl_progress, link_extract, link_domains, category_link_extract, article_link_extract, pagination_next, link_resolve, bfs_frontier,
         stream_ingest,
     )
 }
@@ -198,7 +233,38 @@ edges AS (SELECT url, link FROM e0 WHERE link <> '' AND lower({_p("link", 1)}) I
 
 _HOST = f"regexp_replace(lower({_p('url', 2)}), '^www\\.', '')"
 
+_CAPTCHA, _CHALLENGE, _INTERSTITIAL = (" OR ".join(f"contains(lower(html), '{x}')" for x in signs) for signs in (html.CAPTCHA, html.CHALLENGE, html.INTERSTITIAL))
+#: Of the documents' urls: key and value pairs decoded, in order, encoded anew.
+_QUERY = """array_to_string(list_transform(list_sort(list_transform(list_filter(string_split(q, '&'), lambda x: x <> ''),
+  lambda x, i: {'k': url_decode(string_split(x, '=')[1]), 'i': i, 'v': url_decode(CASE WHEN contains(x, '=') THEN x[position('=' IN x) + 1:] ELSE '' END)})),
+  lambda p: url_encode(p.k) || '=' || url_encode(p.v)), '&')"""
+_LISTING = f"l AS (SELECT lower(source_domain) AS host, source_domain, doc_id, doc_id // {LISTED} AS k FROM documents WHERE source_domain IS NOT NULL)"
+_LISTING_URL = "'https://' || source_domain || '/wiki/Category:All/' || k"
+_DIRECTORY = f"regexp_replace({_p('url', 3)}, '[^/]*$', '')"
+_ROOT = f"lower({_p('url', 1)}) || '://' || lower({_p('url', 2)})"
+
 SQL = {
+    "url_normalize_crawl": f"""{_URLS}, s AS (SELECT url, {_norm("url", _p("url", 3), "")} AS base, {_p("url", 4)} AS q FROM u)
+      SELECT url, base || CASE WHEN q = '' THEN '' ELSE '?' || {_QUERY} END AS norm_url FROM s""",
+    "url_titles": f"""{_URLS}, p AS (SELECT url, {_p("url", 3)} AS path FROM u)
+      SELECT url, replace(url_decode(CASE WHEN contains(path, '/wiki/') THEN path[position('/wiki/' IN path) + 6:] ELSE trim(path, '/') END), '_', ' ') AS title FROM p""",
+    "challenge_pages": f"""SELECT DISTINCT _id, coalesce({_CAPTCHA} OR {_CHALLENGE}, FALSE) AS captcha, coalesce({_INTERSTITIAL}, FALSE) AS challenge FROM crawled_pages""",
+    "page_lookup": f"""WITH last AS (SELECT *, row_number() OVER (PARTITION BY url, source_domain ORDER BY timestamp DESC NULLS LAST, _id DESC) AS rn FROM crawled_pages
+      WHERE url IS NOT NULL AND source_domain IS NOT NULL) SELECT url, source_domain, _id FROM last WHERE rn = 1 ORDER BY url, source_domain LIMIT 1""",
+    "category_link_extract": f"WITH {_LISTING} SELECT DISTINCT {_LISTING_URL} AS url, 'https://' || host || '/wiki/Category:Sub_' || (k % 7) AS link FROM l",
+    "article_link_extract": f"WITH {_LISTING} SELECT DISTINCT {_LISTING_URL} AS url, 'https://' || host || '/wiki/Page_' || doc_id || '?a=2&b=1' AS link FROM l",
+    "pagination_next": f"WITH {_LISTING} SELECT DISTINCT {_LISTING_URL} AS url, 'https://' || host || '/index.php?pagefrom=' || (k + 1) || '&title=Category%3AAll' AS next FROM l",
+    "link_resolve": f"""WITH b AS (SELECT DISTINCT url, {_ROOT} AS root, {_p("url", 3)} AS path, {_DIRECTORY} AS dir FROM documents
+        WHERE lower({_p("url", 1)}) IN ('http', 'https') AND {_p("url", 2)} <> ''),
+      d AS (SELECT url, root, path, CASE WHEN dir = '' THEN '/' ELSE regexp_replace(dir, '/{{2,}}', '/', 'g') END AS dir FROM b)
+      SELECT url, '/r' AS href, 'https://' || split_part(root, '://', 2) || '/r' AS link FROM d
+      UNION ALL SELECT url, '?page=2', root || CASE WHEN path = '/' THEN '/' ELSE rtrim(path, '/') END || '?page=2' FROM d
+      UNION ALL SELECT url, '../up', root || regexp_replace(dir, '[^/]+/$', '') || 'up' FROM d
+      UNION ALL SELECT url, 'x/./y', root || dir || 'x/y' FROM d
+      UNION ALL SELECT url, 'http://o.example/p/?b=2&a=1', 'http://o.example/p?a=1&b=2' FROM d
+      UNION ALL SELECT url, 'mailto:a@b', 'mailto:a@b' FROM d
+      UNION ALL SELECT url, 'z#f', root || dir || 'z' FROM d""",
+    "stream_ingest": f"WITH {_LATEST} SELECT url, source_domain, _id, md5(html) AS content_hash FROM last",
     "url_normalize_export": f"{_URLS} SELECT url, {_norm('trim(url)', _EXPORT_PATH, '/')} AS norm_url FROM u",
     "url_domain": f"{_URLS} SELECT url, lower({_p('url', 2)}) AS domain FROM u",
     "url_filter": f"""{_URLS} SELECT url, (url = '' OR regexp_matches(lower(url), '\\.({"|".join(urls.MEDIA)})$') OR {" OR ".join(f"contains(lower(url), '{p}')" for p in urls.NOISE)}) AS noise,

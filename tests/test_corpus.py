@@ -307,3 +307,35 @@ def test_stream_is_idempotent(spark, tmp_path):
     writes(spark, [("3", "a", "x2", "d", 5)]).write.mode("append").parquet(source)
     assert {r.url: r.html for r in ingest(spark, source, root).collect()} == {"a": "x2", "b": "y"}
     assert {r.url: r.html for r in ingest(spark, source, root).collect()} == {"a": "x2", "b": "y"}
+
+
+def test_joined_equals_the_standard_library(spark):
+    """References resolved and queries sorted as the standard library does it."""
+    from urllib.parse import parse_qs, urlencode, urljoin, urlsplit
+
+    bases = ["https://h.x/a/b/c", "https://h.x/a/b/", "https://h.x", "http://H.x/a?q=1#f", "https://h.x/a//b/c"]
+    hrefs = ["?page=2", "../up", "../../../top", "x", "./x", "x/../y", "..", ".", "x/./y/", "g;p?y#s", "../x?b=2&a=1", "x//y"]
+    rows = spark.createDataFrame([(b, h) for b in bases for h in hrefs], "base string, href string")
+    got = {(r.base, r.href): r.full for r in rows.select("*", links.absolute(F.col("href"), F.col("base")).alias("full")).collect()}
+    assert got == {(b, h): urljoin(b, h).split("#")[0] for b in bases for h in hrefs}
+    others = spark.createDataFrame([("https://h.x/a", h) for h in ("data:text/x", "mailto:a@b", "/r", "http://o/p")], "base string, href string")
+    assert [r[0] for r in others.select(links.absolute(F.col("href"), F.col("base"))).collect()] == ["data:text/x", "mailto:a@b", "https://h.x/r", "http://o/p"]
+    asked = ["b=2&a=1&b=1", "a", "a=&&b", "x=%C3%A9+y&A=~*", "k=a%3Db", "q=1=2", "é=ü"]
+    found = spark.createDataFrame([(q,) for q in asked], "q string").select("q", urls.sorted_query(F.col("q")).alias("s")).collect()
+    assert {r.q: r.s for r in found} == {q: urlencode(sorted(parse_qs(q, keep_blank_values=True).items()), doseq=True) for q in asked}
+    assert urlsplit(got[bases[0], "../up"]).path == "/a/up"
+
+
+def test_article_lists_are_closed(spark):
+    modern = '<ul><li><a href="/wiki/Menu">m</a></ul><div class="x category-page__members"><div><a href="/wiki/A&amp;B">a</a><a href="/wiki/Category:C">c</a></div><a href="http://h.x/wiki/D?x=1&amp;a=2">d</a></div><a href="/wiki/Privacy">p</a><div class="category-page__members"><a href="/wiki/Second">s</a></div>'
+    older = '<div class="mw-category"><div class="mw-category-group"><a href="/wiki/E">e</a></div><a href="http://h.x/wiki/F">f</a></div><a href="/wiki/G">g</a><ul class="mw-category-group"><li><ul><a href="/wiki/H">h</a></ul></li></ul><a href="/wiki/I">i</a>'
+    rows = spark.createDataFrame([("https://h.x/c", modern), ("https://h.x/o", older), ("https://h.x/n", "<p>categories</p>")], "url string, html string")
+    got = {(r.url[-1], r.link) for r in links.article_links(rows).collect()}
+    assert got == {("c", "https://h.x/wiki/A&B"), ("c", "http://h.x/wiki/D?a=2&x=1"), ("o", "https://h.x/wiki/E"), ("o", "https://h.x/wiki/H")}
+    following = [
+        ('<a class="mw-nextlink" href="/w?title=X&amp;pagefrom=Y">n</a>', "https://h.x/w?pagefrom=Y&title=X"),
+        ('<a href="rel">next 5</a><a href="/z">Next 200</a>', "https://h.x/z"),
+        ('<a href="javascript:x">next 5</a>', None),
+    ]
+    for page, link in following:
+        assert one(spark, links.next_page(F.lit(page), F.lit("https://h.x/l"))) == link
