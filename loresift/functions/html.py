@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import html as entities
 import re
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
@@ -32,61 +32,72 @@ INTERSTITIAL = [
 ]
 
 
-class _Cleaner(HTMLParser):
-    """Collects the text outside dropped elements, and title and first heading."""
+_PIECE = re.compile(
+    r"""<!--(?:.*?-->|.*\Z)|<(?P<raw>script|style)\b[^>]*>(?:.*?</(?P=raw)\s*>|.*\Z)|<(/?)([a-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*|[^>]*)>|<[!?/][^>]*>""", re.I | re.S
+)
+_ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []
-        self.hidden = 0
-        self.pieces: list[str] = []
-        self.titles: dict[str, list[str]] = {}
-        self.current: str | None = None
 
-    def _dropped(self, tag: str, attrs) -> bool:
-        if tag in DROPPED:
-            return True
-        for name, value in attrs:
-            if value and name == "class" and not BOILERPLATE_CLASSES.isdisjoint(value.split()):
+def _dropped(tag: str, rest: str) -> bool:
+    """Whether an element is no text of the page."""
+    if tag in DROPPED:
+        return True
+    if "=" in rest:
+        for name, *values in _ATTRIBUTE.findall(rest):
+            value, name = "".join(values), name.lower()
+            if name == "class" and not BOILERPLATE_CLASSES.isdisjoint(value.split()):
                 return True
-            if value and any(p in value for p in BOILERPLATE_PARTS.get(name, ())):
+            if any(p in value for p in BOILERPLATE_PARTS.get(name, ())):
                 return True
-        return False
-
-    def handle_starttag(self, tag, attrs):
-        if tag in VOID:
-            return
-        hide = self._dropped(tag, attrs)
-        self.open.append((tag, hide))
-        self.hidden += hide
-        if tag in ("title", "h1") and not self.hidden and tag not in self.titles:
-            self.titles[tag], self.current = [], tag
-
-    def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                self.hidden -= sum(h for _, h in self.open[k:])
-                del self.open[k:]
-                break
-        if tag == self.current:
-            self.current = None
-
-    def handle_data(self, data):
-        if not self.hidden:
-            self.pieces.append(data)
-            if self.current:
-                self.titles[self.current].append(data)
+    return False
 
 
 def clean(page: str | None) -> tuple[str, str]:
-    """``(title, text)`` of a page: title element, else first heading; all strings joined by blanks."""
+    """``(title, text)`` of a page: title element, else first heading; all strings joined by blanks.
+
+    One pass over the tags. An end tag closes everything opened since its element; one without an open
+    element is ignored."""
     if not page:
         return "", ""
-    parser = _Cleaner()
-    parser.feed(page)
-    parser.close()
-    title = "".join(parser.titles.get("title", [])).strip() or "".join(parser.titles.get("h1", [])).strip()
-    return title, re.sub(r"\s+", " ", " ".join(parser.pieces)).strip()
+    open_: list[tuple[str, bool]] = []
+    pieces: list[str] = []
+    titles: dict[str, list[str]] = {}
+    current: str | None = None
+    hidden = at = 0
+
+    def text(end: int) -> None:
+        if end > at and not hidden:
+            pieces.append(page[at:end])
+            if current:
+                titles[current].append(page[at:end])
+
+    for m in _PIECE.finditer(page):
+        text(m.start())
+        at = m.end()
+        _, close, tag, rest = m.groups()
+        if tag is None:
+            continue
+        tag = tag.lower()
+        if not close:
+            if tag in VOID:
+                continue
+            hide = _dropped(tag, rest)
+            if not rest.endswith("/"):
+                open_.append((tag, hide))
+                hidden += hide
+                if tag in ("title", "h1") and not hidden and tag not in titles:
+                    titles[tag], current = [], tag
+            continue
+        for k in range(len(open_) - 1, -1, -1):
+            if open_[k][0] == tag:
+                hidden -= sum(h for _, h in open_[k:])
+                del open_[k:]
+                break
+        if tag == current:
+            current = None
+    text(len(page))
+    title = entities.unescape("".join(titles.get("title", []))).strip() or entities.unescape("".join(titles.get("h1", []))).strip()
+    return title, re.sub(r"\s+", " ", entities.unescape(" ".join(pieces))).strip()
 
 
 @F.pandas_udf(T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType())]))

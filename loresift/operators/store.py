@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,10 +24,11 @@ def latest(writes: DataFrame) -> DataFrame:
 def needs_update(stored: DataFrame, fetched: DataFrame, now: int, max_age_days: int = 30) -> DataFrame:
     """``url, source_domain, reason``: fetched pages that are missing, changed, or stored too long.
 
-    ``stored`` holds one row per page; a page stored strictly longer than the limit is stale.
+    ``fetched`` holds ``html``, or its MD5 as ``hash`` where the html need not travel. ``stored`` holds one row per page; a page stored strictly longer than the limit is stale.
     """
     old = stored.select(*KEY, F.col("content_hash").alias("old_hash"), F.col("timestamp").alias("old_time"), F.lit(True).alias("known"))
-    joined = fetched.select(*KEY, F.md5("html").alias("hash")).join(old, KEY, "left")
+    known = F.col("hash") if "hash" in fetched.columns else F.md5("html")
+    joined = fetched.select(*KEY, known.alias("hash")).join(old, KEY, "left")
     reason = (
         F.when(F.col("known").isNull(), "missing")
         .when(~F.col("hash").eqNullSafe(F.lower("old_hash")), "changed")
@@ -65,25 +67,42 @@ def backfill_domain(pages: DataFrame, default: Column | str) -> DataFrame:
 
 
 class PageStore:
-    """Snapshots of one row per page in a folder; a commit names the snapshot that counts."""
+    """One row per page in a folder, in ``buckets`` by page key; a commit names the folder of every bucket
+    that counts. An upsert rewrites only the buckets that its writes fall into."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self.log = spark, root.rstrip("/"), CommitLog(spark, root)
+    COLUMNS = ["_id", *KEY, "html", "source", "timestamp", "content_hash"]
 
-    def read(self) -> DataFrame | None:
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets, self.log = spark, root.rstrip("/"), buckets, CommitLog(spark, root)
+
+    def _folders(self) -> dict[int, str]:
         commits = self.log.commits()
-        return self.spark.read.parquet(commits[-1].output) if commits else None
+        return {int(k): v for k, v in json.loads(commits[-1].output).items()} if commits else {}
+
+    def _rows(self, folders) -> DataFrame | None:
+        return self.spark.read.parquet(*folders) if folders else None
+
+    def read(self) -> DataFrame | None:
+        return self._rows(list(self._folders().values()))
 
     def upsert(self, writes: DataFrame, batch: int | None = None) -> bool:
-        """Merge writes into a new snapshot. A ``batch`` number that was committed before is skipped,
-        so that a stream may deliver a batch again after a failure."""
+        """Merge writes into the store. A ``batch`` number that was committed before is skipped and gives
+        False, so that a stream may deliver a batch again after a failure. If another writer commits
+        meanwhile this one raises and changes nothing; a stream then delivers the batch again."""
         done = self.log.commits()
-        if batch is not None and done and done[-1].watermark >= batch:
+        if batch is not None and done and max(c.watermark for c in done) >= batch:
             return False
-        columns = ["_id", *KEY, "html", "source", "timestamp", "content_hash"]
-        fresh = writes.where(F.col("html").isNotNull()).withColumn("content_hash", F.md5("html")).select(*columns)
-        old = self.read()
-        merged = latest(fresh if old is None else old.select(*columns).unionByName(fresh))
+        bucket = F.pmod(F.xxhash64(*KEY), F.lit(self.buckets)).cast("int")
+        fresh = writes.where(F.col("html").isNotNull()).withColumn("content_hash", F.md5("html")).select(*self.COLUMNS)
+        folders = self._folders()
+        # at most as many rows as there are buckets
+        touched = {r.b for r in fresh.select(bucket.alias("b")).distinct().collect()}
+        old = self._rows([folders[b] for b in touched if b in folders])
+        merged = latest(fresh if old is None else old.select(*self.COLUMNS).unionByName(fresh))
         output = f"{self.root}/data/{uuid.uuid4().hex}"
-        merged.write.parquet(output)
-        return self.log.publish(Commit((done[-1].number if done else 0) + 1, -1 if batch is None else batch, output))
+        merged.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(output)
+        folders |= {b: f"{output}/bucket={b}" for b in touched}
+        number = (done[-1].number if done else 0) + 1
+        if not self.log.publish(Commit(number, -1 if batch is None else batch, json.dumps(folders))):
+            raise RuntimeError("another writer committed first; run again")
+        return True

@@ -72,22 +72,36 @@ def skip_reasons(spark, folder):
     return curate.skip_report(pages(spark, folder))
 
 
+def curate_documents(spark, folder):
+    """The documents curated as crawled pages are: first good page of a url, dense ids."""
+    rows = curate.export(staged(curate.exported_documents(table(spark, folder, "documents")), "cleaned"))
+    return rows.select("doc_id", "url", "title", "source", "source_domain", "timestamp", "text_length")
+
+
+def document_skip_reasons(spark, folder):
+    return curate.reason_counts(curate.exported_documents(table(spark, folder, "documents")))
+
+
 def content_hash(spark, folder):
     """Writes whose stored hash is missing or differs from that of their html."""
     rows = pages(spark, folder).where("html IS NOT NULL").select("_id", F.md5("html").alias("md5"), F.lower("content_hash").alias("stored"))
     return rows.where(~F.col("md5").eqNullSafe(F.col("stored"))).select("_id", "md5").distinct()
 
 
+def _hashed(spark, folder):
+    """Writes with the MD5 of their html in its place, so that no html is exchanged."""
+    return pages(spark, folder).where("html IS NOT NULL").select("url", "source_domain", "_id", "timestamp", F.md5("html").alias("hash"))
+
+
 def upsert_latest(spark, folder):
-    last = store.latest(pages(spark, folder).where("html IS NOT NULL"))
-    return last.select("url", "source_domain", "_id", "timestamp", F.md5("html").alias("md5"))
+    return store.latest(_hashed(spark, folder)).withColumnRenamed("hash", "md5")
 
 
 def change_detection(spark, folder):
     """Which exported pages are missing, changed or stale when the log's latest writes are fetched."""
     entries = table(spark, folder, "export_entries")
     stored = entries.groupBy("url", "source_domain").agg(F.max(F.struct("run_id", "timestamp", "content_hash")).alias("e")).select("url", "source_domain", "e.content_hash", "e.timestamp")
-    return store.needs_update(stored, store.latest(pages(spark, folder).where("html IS NOT NULL")), NOW)
+    return store.needs_update(stored, store.latest(_hashed(spark, folder)), NOW)
 
 
 def page_lookup(spark, folder):
@@ -95,7 +109,8 @@ def page_lookup(spark, folder):
     first = pages(spark, folder).where("url IS NOT NULL AND source_domain IS NOT NULL").agg(F.min(F.struct("url", "source_domain")).alias("k")).first().k
     if first is None:
         return pages(spark, folder).limit(0).select("url", "source_domain", "_id")
-    return store.lookup(store.latest(pages(spark, folder)), first.url, first.source_domain).select("url", "source_domain", "_id")
+    stored = store.latest(pages(spark, folder).select("url", "source_domain", "_id", "timestamp"))
+    return store.lookup(stored, first.url, first.source_domain).select("url", "source_domain", "_id")
 
 
 def count_by_source(spark, folder):
@@ -191,7 +206,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         url_normalize_export, url_normalize_crawl, url_domain, url_filter, url_whitelist, url_titles, html_clean, informative_docs, challenge_pages,
-        curate_pages, skip_reasons, content_hash, upsert_latest, change_detection, page_lookup, count_by_source, docs_per_day, latest_pages,
+        curate_pages, curate_documents, skip_reasons, document_skip_reasons, content_hash, upsert_latest, change_detection, page_lookup, count_by_source, docs_per_day, latest_pages,
         backfill_domain, crawl_progress, link_extract, link_domains, category_link_extract, article_link_extract, pagination_next, link_resolve, bfs_frontier,
         stream_ingest,
     )
@@ -243,7 +258,18 @@ _LISTING_URL = "'https://' || source_domain || '/wiki/Category:All/' || k"
 _DIRECTORY = f"regexp_replace({_p('url', 3)}, '[^/]*$', '')"
 _ROOT = f"lower({_p('url', 1)}) || '://' || lower({_p('url', 2)})"
 
+_NOISE = f"(n = '' OR regexp_matches(lower(n), '\\.({'|'.join(urls.MEDIA)})$') OR {' OR '.join(f"contains(lower(n), '{p}')" for p in urls.NOISE)})"
+_CURATED = f"""WITH k AS (SELECT *, CASE WHEN url IS NULL THEN '' ELSE {_norm("trim(url)", _EXPORT_PATH, "/")} END AS n, doc_id::VARCHAR AS id, coalesce(url, '') AS u,
+    regexp_extract_all(text, '[a-zA-Z]{{3,}}') AS w FROM documents),
+  f AS (SELECT *, coalesce(length(text) >= 350 AND len(w) >= 60 AND len(list_distinct(w)) >= 0.12 * len(w) AND length(regexp_replace(title, '^\\s+|\\s+$', '', 'g')) >= 3, FALSE) AS good FROM k),
+  o AS (SELECT *, coalesce(max(good::INT) OVER (PARTITION BY n ORDER BY u, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f),
+  r AS (SELECT *, CASE WHEN {_NOISE} THEN 'noise' WHEN before = 1 THEN 'duplicate' WHEN good THEN 'exported' ELSE 'low_quality' END AS reason FROM o)"""
+
 SQL = {
+    "curate_documents": _CURATED
+    + """ SELECT row_number() OVER (ORDER BY url, id) - 1 AS doc_id, n AS url, title, coalesce(source, 'Unknown') AS source, coalesce(source_domain, 'unknown') AS source_domain,
+      coalesce(timestamp, 0) AS timestamp, length(text)::INT AS text_length FROM r WHERE reason = 'exported'""",
+    "document_skip_reasons": _CURATED + " SELECT reason, count(*) AS n FROM r GROUP BY reason",
     "url_normalize_crawl": f"""{_URLS}, s AS (SELECT url, {_norm("url", _p("url", 3), "")} AS base, {_p("url", 4)} AS q FROM u)
       SELECT url, base || CASE WHEN q = '' THEN '' ELSE '?' || {_QUERY} END AS norm_url FROM s""",
     "url_titles": f"""{_URLS}, p AS (SELECT url, {_p("url", 3)} AS path FROM u)

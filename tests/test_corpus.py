@@ -234,6 +234,25 @@ def test_file_times_bound_a_run(spark, tmp_path):
     assert CommitLog(spark, root).commits()[-1].watermark == 2_000_000
 
 
+def test_store_rewrites_only_touched_buckets(spark, tmp_path):
+    pages = store.PageStore(spark, f"file://{tmp_path}/store", buckets=8)
+    assert pages.upsert(writes(spark, [(str(k), f"u{k}", f"h{k}", "d", 1) for k in range(40)]))
+    before = pages._folders()
+    assert len(before) == 8 and pages.upsert(writes(spark, [("x", "u3", "new", "d", 2)]))
+    after = pages._folders()
+    assert sum(before[b] != after[b] for b in before) == 1
+    state = {r.url: r.html for r in pages.read().collect()}
+    assert state == {f"u{k}": f"h{k}" for k in range(40)} | {"u3": "new"}
+
+
+def test_store_raises_when_another_writer_wins(spark, tmp_path, monkeypatch):
+    pages = store.PageStore(spark, f"file://{tmp_path}/store")
+    monkeypatch.setattr(CommitLog, "publish", lambda *_: False)
+    with pytest.raises(RuntimeError):
+        pages.upsert(writes(spark, [("1", "a", "x", "d", 1)]), 0)
+    assert pages.read() is None
+
+
 def test_store(spark, tmp_path):
     pages = store.PageStore(spark, f"file://{tmp_path}/store")
     assert pages.read() is None
