@@ -1,10 +1,11 @@
 """Problem 1: how often every distinct term occurs, and in how many documents.
 
 Method: recursive radix spilling. Every input task counts the terms of its own documents in DuckDB,
-so one row per task and term leaves it, however common the term. These partial counts are
-partitioned by the top bits of a term hash and written to the shared folder. Partitions that hold
-more rows than one task may aggregate are split by the next bits, again and again. Each leaf is then
-summed by DuckDB in one task, out of core, straight from its files.
+so few rows per task and term leave it, however common the term: what is held is summed and handed on
+whenever it reaches a limit. These partial counts are partitioned by the top bits of a term hash and
+spilled to the shared folder. Partitions whose counted bytes do not fit the memory of one task are split
+by the next bits, again and again, all of a level in one job. Each leaf is then summed by DuckDB in one
+task straight from its files. Nothing is spilled to a disk of the executor's own.
 
 Defined results: null texts hold no terms and do not count as documents, empty texts count as
 documents; repeated rows count each time; an empty table gives no rows; other columns are not read.
@@ -12,6 +13,7 @@ documents; repeated rows count each time; an empty table gives no rows; other co
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -29,42 +31,80 @@ DOCS = ""
 
 PARTIAL = "term string, h long, occurrences long, documents long"
 
-#: Rows of partial counts that a task collects before it sums them anew.
-FOLD_ROWS = 2_000_000
+#: Shares of a task's memory: a row of partial counts that it holds, a character that it counts at a time.
+#: Counts beyond that are handed on; longer texts are counted in pieces.
+HELD_BYTES, CHAR_BYTES = 300, 64
+#: Bytes that DuckDB's grouping needs for a row besides its term.
+ROW_BYTES = 100
 
 
 def _connection(memory_mb: int):
     import duckdb
 
-    con = duckdb.connect(config={"memory_limit": f"{memory_mb}MB", "threads": 1, "preserve_insertion_order": False})
-    return con
+    return duckdb.connect(config={"memory_limit": f"{memory_mb}MB", "threads": 1, "preserve_insertion_order": False, "temp_directory": ""})
+
+
+def _pieces(batch: pa.RecordBatch, limit: int) -> Iterator[tuple[pa.Table, bool, bool]]:
+    """``(texts, whole, last)``: tables of whole texts, or of a piece of one text that is longer than
+    ``limit``, cut where no term can stand."""
+    texts: list[str] = []
+    size = 0
+    for value in batch.column("text"):
+        text = value.as_py()
+        if texts and size + len(text) > limit:
+            yield pa.table({"text": texts}), True, True
+            texts, size = [], 0
+        if len(text) <= limit:
+            texts.append(text)
+            size += len(text)
+            continue
+        at = 0
+        while at < len(text):
+            end = min(len(text), at + limit)
+            while end < len(text) and (text[end] == "'" or text[end].isascii() and text[end].isalpha()):
+                end += 1
+            yield pa.table({"text": [text[at:end]]}), False, end == len(text)
+            at = end
+    if texts:
+        yield pa.table({"text": texts}), True, True
 
 
 def _count_partials(batches: Iterator[pa.RecordBatch], min_chars: int, memory_mb: int) -> Iterator[pa.RecordBatch]:
     con = _connection(memory_mb)
-    con.execute("CREATE TABLE part (term VARCHAR, occurrences BIGINT, documents BIGINT)")
-    held, docs = 0, 0
+    most, limit, held, docs = (memory_mb << 20) // HELD_BYTES, (memory_mb << 20) // CHAR_BYTES, 0, 0
+    for name in ("part", "pieces"):
+        con.execute(f"CREATE TABLE {name} (term VARCHAR, occurrences BIGINT, documents BIGINT)")
+    per_text = f"""SELECT lower(t) AS term, count(*) AS n FROM (SELECT row_number() OVER () AS r, regexp_extract_all(text, $pattern) AS ts FROM texts), unnest(ts) AS u(t)
+      WHERE length(t) >= {int(min_chars)} GROUP BY r, term"""
     for batch in batches:
-        texts = pa.Table.from_batches([batch])
-        docs += len(texts)
-        con.register("texts", texts)
-        held += con.execute(
-            f"""INSERT INTO part
-            SELECT term, sum(n)::BIGINT, count(*) FROM (
-              SELECT r, lower(t) AS term, count(*) AS n
-              FROM (SELECT row_number() OVER () AS r, regexp_extract_all(text, $pattern) AS ts FROM texts), unnest(ts) AS u(t)
-              WHERE length(t) >= {int(min_chars)} GROUP BY r, term)
-            GROUP BY term""",
-            {"pattern": TERM},
-        ).fetchone()[0]
-        con.unregister("texts")
-        if held > FOLD_ROWS:
-            con.execute("CREATE TABLE folded AS SELECT term, sum(occurrences)::BIGINT AS occurrences, sum(documents)::BIGINT AS documents FROM part GROUP BY term")
-            con.execute("DROP TABLE part")
-            con.execute("ALTER TABLE folded RENAME TO part")
-            held = con.execute("SELECT count(*) FROM part").fetchone()[0]
-    con.execute("INSERT INTO part VALUES ('', 0, ?)", [docs])
-    yield from _batches(con, "SELECT term, ('0x' || md5(term)[:15])::BIGINT AS h, sum(occurrences)::BIGINT AS occurrences, sum(documents)::BIGINT AS documents FROM part GROUP BY term")
+        docs += batch.num_rows
+        for texts, whole, last in _pieces(batch, limit):
+            con.register("texts", texts)
+            held += con.execute(f"INSERT INTO {'part' if whole else 'pieces'} SELECT term, sum(n)::BIGINT, count(*) FROM ({per_text}) GROUP BY term", {"pattern": TERM}).fetchone()[0]
+            con.unregister("texts")
+            if not whole and (last or held > most):
+                _fold(con, "pieces")  # one text's terms, however often it has them
+                if last:
+                    con.execute("INSERT INTO part SELECT term, occurrences, 1 FROM pieces")
+                    con.execute("TRUNCATE pieces")
+            if held > most and last:
+                yield from _batches(con, _PARTIALS)
+                con.execute("TRUNCATE part")
+                held = 0
+    yield from _batches(con, _PARTIALS)
+    yield pa.RecordBatch.from_pydict({"term": [DOCS], "h": pa.array([_DOCS_HASH], pa.int64()), "occurrences": pa.array([0], pa.int64()), "documents": pa.array([docs], pa.int64())})
+
+
+def _fold(con, name: str) -> None:
+    con.execute(f"CREATE TABLE folded AS SELECT term, sum(occurrences)::BIGINT AS occurrences, 1::BIGINT AS documents FROM {name} GROUP BY term")
+    con.execute(f"DROP TABLE {name}")
+    con.execute(f"ALTER TABLE folded RENAME TO {name}")
+
+
+_HASH = "('0x' || md5(term)[:15])::BIGINT"
+#: The hash of the empty term.
+_DOCS_HASH = int(hashlib.md5(b"").hexdigest()[:15], 16)
+_PARTIALS = f"SELECT term, {_HASH} AS h, sum(occurrences)::BIGINT AS occurrences, sum(documents)::BIGINT AS documents FROM part GROUP BY term"
 
 
 def _batches(con, query: str) -> Iterator[pa.RecordBatch]:
@@ -72,16 +112,14 @@ def _batches(con, query: str) -> Iterator[pa.RecordBatch]:
 
 
 def _sum_leaves(batches: Iterator[pa.RecordBatch], memory_mb: int) -> Iterator[pa.RecordBatch]:
-    """Each input row names the files of one leaf; DuckDB sums them without holding them."""
+    """Each input row names the files of a few leaves; DuckDB sums them as it reads them."""
     import pyarrow.dataset as ds
     from pyarrow import fs
 
     for batch in batches:
         for folders in batch.column("folders").to_pylist():
             con = _connection(memory_mb)
-            system, first = fs.FileSystem.from_uri(folders[0])
-            spill = f"{first}-spill" if isinstance(system, fs.LocalFileSystem) else ""  # DuckDB spills to paths only
-            con.execute(f"SET temp_directory = '{spill}'")
+            system, _ = fs.FileSystem.from_uri(folders[0])
             files = [f.path for folder in folders for f in system.get_file_info(fs.FileSelector(fs.FileSystem.from_uri(folder)[1])) if f.path.endswith(".parquet")]
             con.register("leaf", ds.dataset(files, filesystem=system, format="parquet"))
             yield from _batches(con, "SELECT term, sum(occurrences)::BIGINT AS occurrences, sum(documents)::BIGINT AS documents FROM leaf GROUP BY term")
@@ -97,58 +135,46 @@ def term_counts(documents: DataFrame, text: str = "text", min_chars: int = 2, bi
     """``term, occurrences, documents`` of every distinct term, and one row with the empty term
     whose ``documents`` is the number of non-null texts.
 
-    ``leaf_rows`` bounds what one task sums; ``bits`` is the radix of a split.
+    ``leaf_rows``, and half of ``memory_mb``, bound what one task sums; ``bits`` is the radix of a split.
     """
     spark = documents.sparkSession
-    partial = (
+    rows = (
         spread(documents.select(F.col(text).alias("text")).where(F.col("text").isNotNull()))
         .mapInArrow(lambda it: _count_partials(it, min_chars, memory_mb), PARTIAL)
+        .withColumn("prefix", F.lit("t"))
     )
-    fan, level, leaves, todo = 1 << bits, 0, [], None
-    rows = partial
+    fan, level, leaves, large = 1 << bits, 0, [], ["t"]
     while True:
-        here = rows.withColumn("radix", _digit(level, bits))
-        keys = ["radix"] if level == 0 else ["prefix", "radix"]
         path = work_path(spark, f"terms-{level}")
         # each digit goes to few writers, as many as there are tasks to share among the digits
-        writers = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // (fan * max(1, len(todo or ()))))
-        here.repartition(*keys, F.pmod("h", F.lit(writers))).write.option("compression", "zstd").partitionBy(*keys).parquet(path)
-        sizes = _file_rows(spark, path, keys)
-        large = []
-        for folder, name, count in sizes:
-            (large if count > leaf_rows and bits * (level + 2) <= 60 else leaves).append((folder, name, count))
+        writers = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // (fan * len(large)))
+        here = rows.withColumn("radix", _digit(level, bits))
+        here.repartition("prefix", "radix", F.pmod("h", F.lit(writers))).write.option("compression", "zstd").partitionBy("prefix", "radix").parquet(path)
+        written = spark.read.schema(f"{PARTIAL}, prefix string, radix int").parquet(path)
+        last, large = bits * (level + 2) > 60, []
+        # one row for every partition of the level reaches the driver
+        for r in written.groupBy("prefix", "radix").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("term") + ROW_BYTES).alias("bytes")).collect():
+            if not last and (r.n > leaf_rows or r.bytes > memory_mb << 19):
+                large.append(f"{r.prefix}-{r.radix}")
+            else:
+                leaves.append((f"{path}/prefix={r.prefix}/radix={r.radix}", r.bytes))
         if not large:
-            break
-        todo, level = large, level + 1
-        rows = None
-        for number, (folder, _, _) in enumerate(large):
-            piece = spark.read.schema(PARTIAL).parquet(folder).withColumn("prefix", F.lit(f"{level}-{number}"))
-            rows = piece if rows is None else rows.unionByName(piece)
-    return _summed(spark, leaves, leaf_rows, memory_mb)
-
-
-def _file_rows(spark, path: str, keys: list[str]) -> list[tuple[str, str, int]]:
-    """``(folder, name, rows)`` of every partition of a written level: a handful of rows."""
-    kinds = {"radix": "int", "prefix": "string"}
-    schema = ", ".join([PARTIAL, *(f"{k} {kinds[k]}" for k in keys)])
-    found = spark.read.schema(schema).parquet(path).groupBy(*keys).count().collect()
-    result = []
-    for row in found:
-        name = "/".join(f"{k}={row[k]}" for k in keys)
-        result.append((f"{path}/{name}", name, row["count"]))
-    return result
-
-
-def _summed(spark, leaves, leaf_rows: int, memory_mb: int) -> DataFrame:
+            return _summed(spark, leaves, min(leaf_rows * ROW_BYTES, memory_mb << 19) // 8, memory_mb)
+        level += 1
+        place = F.concat_ws("-", "prefix", "radix")
+        rows = written.where(place.isin(large)).withColumn("prefix", place)
+
+
+def _summed(spark, leaves: list[tuple[str, int]], share: int, memory_mb: int) -> DataFrame:
     """Small neighbours share a task; a leaf is never cut."""
     groups, held = [], 0
-    for folder, _, count in sorted(leaves):
-        if groups and held + count <= leaf_rows // 8:
+    for folder, size in sorted(leaves):
+        if groups and held + size <= share:
             groups[-1].append(folder)
-            held += count
+            held += size
         else:
             groups.append([folder])
-            held = count
+            held = size
     schema = "term string, occurrences long, documents long"
     if not groups:
         return spark.createDataFrame([], schema)

@@ -37,3 +37,20 @@ def test_marks(spark):
 def test_empty(spark):
     assert marked_terms(frame(spark, [None])).count() == 0
     assert marked_terms(frame(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_little_memory(spark, tmp_path, monkeypatch):
+    """Far more distinct terms than 20 MB hold, texts longer than what is counted at a time, and no file
+    anywhere but in the shared folder."""
+    from loresift.llm import terms
+
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(250_000)]
+    texts = [" ".join(words[k : k + 5000]) for k in range(0, len(words), 5000)] * 2 + [" ".join(words[:50_000])]
+    monkeypatch.chdir(tmp_path)
+    got = {r.term: (r.occurrences, r.documents) for r in term_counts(frame(spark, texts), memory_mb=20).collect()}
+    assert got.pop(DOCS) == (0, len(texts)) and got == python_counts(texts)
+    assert not list(tmp_path.iterdir())
+    cut = [(t["text"].to_pylist(), whole, last) for t, whole, last in terms._pieces(terms.pa.RecordBatch.from_pydict({"text": ["a b", "", "it's " * 4, "c"]}), 9)]
+    assert "".join("".join(t) for t, _, _ in cut) == "a b" + "it's " * 4 + "c" and [w for _, w, _ in cut] == [True, False, False, True]
+    assert all(not (a[0][-1][-1:].isalpha() and b[0][0][:1].isalpha()) for a, b in zip(cut, cut[1:]) if not a[1] and not b[1])
