@@ -257,30 +257,36 @@ def similar(documents: DataFrame, threshold: float = 0.8, size: int = 5, min_wor
     return copies, staged(verified(texts, pairs, threshold, size, min_words), "links")
 
 
-def similar_pairs(documents: DataFrame, threshold: float, size: int, min_words: int = 20, **options) -> DataFrame:
-    """``doc_id_a, doc_id_b`` of every pair at the threshold, copies included."""
+def similar_pairs(documents: DataFrame, threshold: float, size: int, min_words: int = 20, class_rows: int = 5_000, **options) -> DataFrame:
+    """``doc_id_a, doc_id_b`` of every pair at the threshold, copies included.
+
+    The pairs of a class of copies are made in as many tasks as it has ``class_rows`` members; their
+    number is quadratic by definition. ``duplicate_groups`` is the form that does not grow with them.
+    """
     copies, links = similar(documents, threshold, size, min_words, **options)
     # only classes that have something to pair
-    many = copies.where("doc_id <> rep").select("rep").distinct()
-    same = copies.join(many, "rep", "left_semi")
-    x, y = same.select("rep", F.col("doc_id").alias("x")), same.select("rep", F.col("doc_id").alias("y"))
-    within = x.join(y, "rep").where("x < y").select("x", "y")
+    many = copies.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rep", F.ceil(F.col("n") / class_rows).alias("salts"))
+    same = copies.join(many, "rep")
+    x = same.select("rep", F.col("doc_id").alias("x"), F.pmod(F.xxhash64("doc_id"), "salts").alias("salt"))
+    y = same.select("rep", F.col("doc_id").alias("y"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    within = x.join(y, ["rep", "salt"]).where("x < y").select("x", "y")
     members = copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("x"))
     others = copies.select(F.col("rep").alias("b"), F.col("doc_id").alias("y"))
     across = links.select("a", "b").join(members, "a").join(others, "b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     return within.union(across).distinct().select(F.col("x").alias("doc_id_a"), F.col("y").alias("doc_id_b"))
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``id, label``: every node of the links ``a, b`` with the smallest node it is connected to.
 
     Each round takes the least label of the neighbours and then that label's own label; every round
-    is written to the shared folder, so lineage stays flat.
+    is written to the shared folder, so lineage stays flat. Labels only fall, so the rounds end; their
+    number grows with the logarithm of the longest chain, or with its length at worst.
     """
     edges = staged(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
     labels = staged(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
     before = None
-    for _ in range(rounds):
+    while True:
         told = edges.join(labels, edges.b == labels.id).select(F.col("a").alias("id"), "label")
         least = labels.union(told).groupBy("id").agg(F.min("label").alias("label"))
         up = labels.select(F.col("id").alias("label"), F.col("label").alias("top"))
@@ -289,7 +295,6 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         if now == before:
             return labels
         before = now
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def duplicate_groups(documents: DataFrame, threshold: float = 0.8, size: int = 5, min_words: int = 20, **options) -> DataFrame:

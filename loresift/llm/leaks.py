@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -91,8 +92,19 @@ class Matcher:
         return {item: (places[first][0], places[first + count - 1][1], count) for item, (first, count) in found.items()}
 
 
-def _scan(batches: Iterator[pa.RecordBatch], passages: list[tuple[int, str]], min_words: int) -> Iterator[pa.RecordBatch]:
-    matcher = Matcher(passages, min_words)
+#: The automaton of the block that this worker scanned for last: it is built once per worker, not per task.
+_LAST: dict[str, Matcher] = {}
+
+
+def _matcher(key: str, held, min_words: int) -> Matcher:
+    if key not in _LAST:
+        _LAST.clear()
+        _LAST[key] = Matcher(held.value, min_words)
+    return _LAST[key]
+
+
+def _scan(batches: Iterator[pa.RecordBatch], key: str, held, min_words: int) -> Iterator[pa.RecordBatch]:
+    matcher = _matcher(key, held, min_words)
     for batch in batches:
         out: list[tuple] = []
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
@@ -113,7 +125,7 @@ def leaked_spans(documents: DataFrame, passages: DataFrame, min_words: int = 12,
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
         held = documents.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in own.collect()])
-        spans = texts.mapInArrow(lambda it, held=held: _scan(it, held.value, min_words), SPANS)
+        spans = texts.mapInArrow(lambda it, key=uuid.uuid4().hex, held=held: _scan(it, key, held, min_words), SPANS)
         result = spans if result is None else result.unionByName(spans)
     return result
 

@@ -30,7 +30,8 @@ TOKEN = "[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s\\x1c-\\x1f\\x85\\u00a0\\u1680\\u200
 
 PIECES = "doc_id long, piece_no int, tokens int, container_id long"
 
-#: A window with less room than this share of the capacity takes the best fit of all sources.
+#: A window with less room than this share of the capacity takes the best fit of all sources: more fills
+#: windows better, less keeps each window closer to the targets.
 GAP = 0.35
 
 
@@ -62,7 +63,7 @@ class _Queues:
         return size, item
 
 
-def pack_shard(rows: pd.DataFrame, capacity: int, share: dict[str, float], carried: dict[str, float], first: int) -> pd.DataFrame:
+def pack_shard(rows: pd.DataFrame, capacity: int, share: dict[str, float], carried: dict[str, float], first: int, gap: float = GAP) -> pd.DataFrame:
     """Assign the pieces of one shard; ``carried`` is what earlier shards still owe each source."""
     queues = _Queues(rows)
     shares = np.array([share.get(n, 0.0) for n in queues.names])
@@ -76,7 +77,7 @@ def pack_shard(rows: pd.DataFrame, capacity: int, share: dict[str, float], carri
             fits = queues.least <= room
             if not fits.any():
                 break
-            if room <= capacity * GAP:
+            if room <= capacity * gap:
                 options = np.flatnonzero(fits)
                 best = max(options.tolist(), key=lambda s: (queues.sizes[s][queues.largest(s, room)], owed[s]))
             else:
@@ -92,7 +93,7 @@ def pack_shard(rows: pd.DataFrame, capacity: int, share: dict[str, float], carri
     return frame.astype({"doc_id": "int64", "piece_no": "int32", "tokens": "int32", "container_id": "int64"})
 
 
-def packed(documents: DataFrame, capacity: int = 2048, targets: dict[str, float] | None = None, shard_tokens: int = 8_000_000, shard_rows: int = 50_000) -> DataFrame:
+def packed(documents: DataFrame, capacity: int = 2048, targets: dict[str, float] | None = None, shard_tokens: int = 8_000_000, shard_rows: int = 50_000, gap: float = GAP) -> DataFrame:
     """``doc_id, piece_no, tokens, container_id`` of every piece of every document.
 
     ``targets`` names wanted shares by source (they are scaled to 1 with the rest of the sources).
@@ -130,7 +131,7 @@ def packed(documents: DataFrame, capacity: int = 2048, targets: dict[str, float]
     def fill(key, rows: pd.DataFrame, account: pd.DataFrame) -> pd.DataFrame:
         share = dict(zip(account.source, account.share, strict=True))
         carried = dict(zip(account.source, account.carried, strict=True))
-        return pack_shard(rows, capacity, share, carried, int(key[0]) << 32)
+        return pack_shard(rows, capacity, share, carried, int(key[0]) << 32, gap)
 
     return dealt.groupBy("shard").cogroup(staged(accounts, "accounts").groupBy("shard")).applyInPandas(fill, PIECES)
 

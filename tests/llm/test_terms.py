@@ -52,5 +52,5 @@ def test_little_memory(spark, tmp_path, monkeypatch):
     assert got.pop(DOCS) == (0, len(texts)) and got == python_counts(texts)
     assert not list(tmp_path.iterdir())
     cut = [(t["text"].to_pylist(), whole, last) for t, whole, last in terms._pieces(terms.pa.RecordBatch.from_pydict({"text": ["a b", "", "it's " * 4, "c"]}), 9)]
-    assert "".join("".join(t) for t, _, _ in cut) == "a b" + "it's " * 4 + "c" and [w for _, w, _ in cut] == [True, False, False, True]
+    assert "".join("".join(t) for t, _, _ in cut) == "a b" + "it's " * 4 + "c" and [w for _, w, _ in cut] == [True, False, False, False, True]
     assert all(not (a[0][-1][-1:].isalpha() and b[0][0][:1].isalpha()) for a, b in zip(cut, cut[1:]) if not a[1] and not b[1])
