@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import evaluate, search
@@ -32,19 +32,16 @@ def find(spark: SparkSession, index: str, query: str) -> list[str]:
 
 def score(spark: SparkSession, index: str, qrels: str, source_domain: str | None = None) -> dict[str, float]:
     """Mean metrics of the judged queries against an index, by url; optionally of one domain."""
-    from .functions.urls import domain
-
     loaded = Index.load(spark, index)
     judged = read_qrels_json(spark, qrels)
     queries = {r.qid: r.query for r in judged.select("qid", "query").distinct().collect()}  # the judged queries
     run = search.search_many(loaded, queries).where("url <> ''")
     wanted = evaluate.clean_qrels(judged, "key")
     if source_domain:
-        run, wanted = run.where(domain(F.col("url")) == source_domain), wanted.where(domain(F.col("key")) == source_domain)
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("qid").orderBy("rank")
-    ranked = run.withColumn("place", F.row_number().over(order)).select("qid", F.col("place").alias("rank"), F.col("url").alias("key"))
+        ranked, wanted = evaluate.of_domain(run, wanted, source_domain)
+    else:
+        order = Window.partitionBy("qid").orderBy("rank")
+        ranked = run.select("qid", F.row_number().over(order).alias("rank"), F.col("url").alias("key"))
     row = evaluate.mean_metrics(evaluate.metrics(ranked, wanted)).first()
     return row.asDict()
 

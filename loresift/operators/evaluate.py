@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import occurrences
+from ..functions.urls import domain
 
 CUTS = (5, 10, 20)
 MAX_GRADE = 3
@@ -68,6 +69,21 @@ def grade_documents(documents: DataFrame, queries: dict[int, str]) -> DataFrame:
     return rows.select("g.qid", "doc_id", "g.grade")
 
 
+def grade_pool(documents: DataFrame, run: DataFrame, queries: dict[int, str]) -> DataFrame:
+    """``qid, doc_id, grade``: like ``grade_documents``, of what each query retrieved only. Texts outside the
+    pool are left out before they are graded."""
+    pooled = documents.join(run.select("doc_id").distinct(), "doc_id", "left_semi")
+    return grade_documents(pooled, queries).join(run.select("qid", "doc_id").distinct(), ["qid", "doc_id"])
+
+
+def of_domain(run: DataFrame, qrels: DataFrame, source_domain: str) -> tuple[DataFrame, DataFrame]:
+    """Results ``qid, rank, url`` and judgements ``qid, key, grade`` of one domain's urls, the results ranked
+    anew as ``qid, rank, key``."""
+    own = run.where((F.col("url") != "") & (domain(F.col("url")) == source_domain))
+    ranked = own.select("qid", F.row_number().over(Window.partitionBy("qid").orderBy("rank")).alias("rank"), F.col("url").alias("key"))
+    return ranked, qrels.where(domain(F.col("key")) == source_domain)
+
+
 def clean_qrels(qrels: DataFrame, key: str) -> DataFrame:
     """``qid, key, grade``: one judgement per query and key.
 

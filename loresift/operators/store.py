@@ -66,6 +66,51 @@ def backfill_domain(pages: DataFrame, default: Column | str) -> DataFrame:
     return pages.withColumn("source_domain", F.coalesce("source_domain", value))
 
 
+def resume_points(states: DataFrame) -> DataFrame:
+    """``_id, category_index, article_index, category_url, finished`` where each crawler goes on: the
+    category at its saved index, counted from 0; site crawlers have no categories and go on anywhere."""
+    index = F.coalesce("current_category_index", F.lit(0))
+    size = F.coalesce(F.size("categories"), F.lit(0))
+    return states.select(
+        "_id", index.alias("category_index"), F.coalesce("current_article_index", F.lit(0)).alias("article_index"),
+        F.when(index < size, F.element_at("categories", F.greatest(index + 1, F.lit(1)))).alias("category_url"), (F.col("categories").isNotNull() & (index >= size)).alias("finished"),
+    )
+
+
+class StateStore:
+    """The saved state of every crawler: one row per ``_id``, the last one saved. A state is a small row and
+    there are as many as crawlers, so each save writes them all and a commit names the folder that counts."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root, self.log = spark, root.rstrip("/"), CommitLog(spark, root)
+
+    def read(self) -> DataFrame | None:
+        done = self.log.commits()
+        return self.spark.read.parquet(done[-1].output) if done else None
+
+    def _commit(self, rows: DataFrame) -> None:
+        done = self.log.commits()
+        output = f"{self.root}/data/{uuid.uuid4().hex}"
+        rows.coalesce(1).write.parquet(output)
+        if not self.log.publish(Commit((done[-1].number if done else 0) + 1, -1, output)):
+            raise RuntimeError("another state was saved first; save again")
+
+    def save(self, states: DataFrame) -> None:
+        """Replace the states of the given ids."""
+        old = self.read()
+        self._commit(states if old is None else old.join(states.select("_id"), "_id", "left_anti").select(*states.columns).unionByName(states))
+
+    def get(self, crawler: str) -> dict | None:
+        rows = self.read()
+        row = rows.where(F.col("_id") == crawler).first() if rows is not None else None
+        return row.asDict() if row else None
+
+    def clear(self, crawler: str) -> None:
+        """Forget one crawler's state, so that it starts anew."""
+        if (rows := self.read()) is not None:
+            self._commit(rows.where(F.col("_id") != crawler))
+
+
 class PageStore:
     """One row per page in a folder, in ``buckets`` by page key; a commit names the folder of every bucket
     that counts. An upsert rewrites only the buckets that its writes fall into."""

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import html, urls
 from ..operators import curate, links, store
-from ..session import staged, table
-from ..streaming.ingest import ingest
+from ..session import staged, table, work_path
+from ..streaming.ingest import ingest, ingest_report
 
 #: The moment that ages are counted from.
 NOW = 1_790_000_000
@@ -137,6 +137,28 @@ def crawl_progress(spark, folder):
     return rows.select("_id", "pages_crawled", "pages_updated", "pages_skipped", F.size("categories").alias("n_categories"), done.alias("done"))
 
 
+def crawl_resume(spark, folder):
+    """Where every crawler goes on, from states that were saved and read back."""
+    states = store.StateStore(spark, work_path(spark, "states"))
+    states.save(table(spark, folder, "crawl_state"))
+    return store.resume_points(states.read())
+
+
+def ingest_counters(spark, folder):
+    """A store filled from the older half of the writes meets all of them."""
+    rows = pages(spark, folder)
+    middle = rows.agg(F.expr("percentile(timestamp, 0.5)").cast("long").alias("m")).first().m or 0
+    root = work_path(spark, "counters")
+    store.PageStore(spark, root).upsert(rows.where((F.col("timestamp") < middle) | F.col("timestamp").isNull()))
+    return ingest_report(spark, f"{folder}/crawled_pages.parquet", root, NOW, max_age_days=100_000)
+
+
+def sorted_pages(spark, folder):
+    """All writes in the order of url and id, numbered."""
+    rows = pages(spark, folder).where("url IS NOT NULL").select("_id", "url").distinct()
+    return curate.dense_ids(rows, ["url", "_id"], "place")
+
+
 def link_extract(spark, folder):
     return links.extract_links(pages(spark, folder))
 
@@ -207,7 +229,7 @@ QUERIES = {
     for f in (
         url_normalize_export, url_normalize_crawl, url_domain, url_filter, url_whitelist, url_titles, html_clean, informative_docs, challenge_pages,
         curate_pages, curate_documents, skip_reasons, document_skip_reasons, content_hash, upsert_latest, change_detection, page_lookup, count_by_source, docs_per_day, latest_pages,
-        backfill_domain, crawl_progress, link_extract, link_domains, category_link_extract, article_link_extract, pagination_next, link_resolve, bfs_frontier,
+        backfill_domain, crawl_progress, link_extract, link_domains, category_link_extract, article_link_extract, pagination_next, link_resolve, bfs_frontier, crawl_resume, ingest_counters, sorted_pages,
         stream_ingest,
     )
 }
@@ -266,6 +288,15 @@ _CURATED = f"""WITH k AS (SELECT *, CASE WHEN url IS NULL THEN '' ELSE {_norm("t
   r AS (SELECT *, CASE WHEN {_NOISE} THEN 'noise' WHEN before = 1 THEN 'duplicate' WHEN good THEN 'exported' ELSE 'low_quality' END AS reason FROM o)"""
 
 SQL = {
+    "crawl_resume": """SELECT _id, coalesce(current_category_index, 0) AS category_index, coalesce(current_article_index, 0) AS article_index,
+      categories[coalesce(current_category_index, 0) + 1] AS category_url, categories IS NOT NULL AND coalesce(current_category_index, 0) >= len(categories) AS finished FROM crawl_state""",
+    "ingest_counters": """WITH w AS (SELECT *, md5(html) AS h FROM crawled_pages WHERE html IS NOT NULL),
+      m AS (SELECT floor(quantile_cont(timestamp, 0.5))::BIGINT AS m FROM crawled_pages),
+      a AS (SELECT url, source_domain, h, row_number() OVER (PARTITION BY url, source_domain ORDER BY timestamp DESC NULLS LAST, _id DESC) AS rn FROM w),
+      b AS (SELECT url, source_domain, h, row_number() OVER (PARTITION BY url, source_domain ORDER BY timestamp DESC NULLS LAST, _id DESC) AS rn FROM w, m WHERE timestamp < m.m OR timestamp IS NULL)
+      SELECT count(*) AS crawled, count(*) FILTER (b.h IS DISTINCT FROM a.h) AS updated, count(*) FILTER (b.h IS NOT DISTINCT FROM a.h) AS skipped
+      FROM a LEFT JOIN b ON a.url = b.url AND a.source_domain = b.source_domain AND b.rn = 1 WHERE a.rn = 1""",
+    "sorted_pages": "SELECT _id, url, row_number() OVER (ORDER BY url, _id) - 1 AS place FROM (SELECT DISTINCT _id, url FROM crawled_pages WHERE url IS NOT NULL)",
     "curate_documents": _CURATED
     + """ SELECT row_number() OVER (ORDER BY url, id) - 1 AS doc_id, n AS url, title, coalesce(source, 'Unknown') AS source, coalesce(source_domain, 'unknown') AS source_domain,
       coalesce(timestamp, 0) AS timestamp, length(text)::INT AS text_length FROM r WHERE reason = 'exported'""",

@@ -12,7 +12,8 @@ from ..functions.text import STOP_WORDS, tokenize
 from ..operators import evaluate, search
 from ..operators.index import Index, build_index, build_statistics, indexed, raw_token_rows, term_frequencies, token_counts, zipf
 from ..operators.query import And, Everything, Leaf, Minus, Or, holds_without_terms, query_terms, tree
-from ..session import file_state, staged, table
+from ..session import file_state, staged, table, work_path
+from ..sources import read_document_table, read_documents_jsonl, read_zipf_csv, write_document_table, write_documents_jsonl, write_metadata, write_qrels_json, write_zipf_csv
 
 #: Boolean queries on words of the test collection, one for each rule of the algebra.
 BOOLEAN = {
@@ -26,6 +27,12 @@ BOOLEAN = {
     "bool_precedence": "rifle OR reactor AND shelter",
 }
 RANKED = "reactor AND shelter"
+DOMAIN = "lore00.kelashbritun.example"
+#: Seventy terms: words of the collection, and the hours of a clock spelt as words.
+MANY_TERMS = " OR ".join(
+    ["reactor", "shelter", "rifle", "helmet", "quest", "courier", "radiation", "settler", "raider", "tunnel", "quarry", "turret", "convoy", "foundry"]
+    + [f"{tens}{ones}" for tens in ("twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty") for ones in ("one", "two", "three", "four", "five", "six", "seven", "eight")]
+) + " NOT drone"
 
 _built: dict = {}
 
@@ -132,6 +139,11 @@ def grade_docs(spark, folder):
     return evaluate.grade_documents(documents(spark, folder), query_log(spark, folder))
 
 
+def grade_pool(spark, folder):
+    run = search.search_many(index_of(spark, folder), query_log(spark, folder))
+    return evaluate.grade_pool(documents(spark, folder), run, query_log(spark, folder))
+
+
 def grade_histogram(spark, folder):
     return evaluate.grade_histogram(grade_docs(spark, folder))
 
@@ -144,6 +156,12 @@ def metrics_avg(spark, folder):
     return evaluate.mean_metrics(metrics_per_query(spark, folder))
 
 
+def metrics_domain(spark, folder):
+    """Metrics by url of one domain's results and judgements."""
+    run = search.search_many(index_of(spark, folder), query_log(spark, folder))
+    return evaluate.metrics(*evaluate.of_domain(run, evaluate.clean_qrels(table(spark, folder, "qrels"), "url"), DOMAIN))
+
+
 def mean_ap(spark, folder):
     return evaluate.mean_average_precision(_run(spark, folder), _qrels(spark, folder))
 
@@ -161,9 +179,62 @@ def qrels_coverage_summary(spark, folder):
     return evaluate.coverage_summary(qrels_coverage(spark, folder))
 
 
+def index_totals(spark, folder):
+    return index_of(spark, folder).statistics()
+
+
+def index_saved(spark, folder):
+    """A search on an index that was saved and loaded."""
+    path = work_path(spark, "saved")
+    index_of(spark, folder).save(path)
+    return search.search(Index.load(spark, path), RANKED)
+
+
+def search_many_terms(spark, folder):
+    """A batch with a query of more terms than a machine word has bits."""
+    return search.scored_many(index_of(spark, folder), {1: MANY_TERMS, 2: RANKED}).select("qid", "doc_id", "score")
+
+
+def jsonl_documents(spark, folder):
+    """Documents written as JSON lines and read again."""
+    path = work_path(spark, "jsonl")
+    write_documents_jsonl(documents(spark, folder), path)
+    return read_documents_jsonl(spark, path).select("doc_id", "url", "title", F.md5("text").alias("text_md5"))
+
+
+def export_metadata(spark, folder):
+    path = work_path(spark, "metadata")
+    write_metadata(documents(spark, folder).withColumn("text_length", F.length("text")), path)
+    return spark.read.parquet(path)
+
+
+def document_table(spark, folder):
+    """The table of ids, urls and titles, written and read again; empty fields are null."""
+    path = work_path(spark, "table")
+    write_document_table(index_of(spark, folder).docs, path)
+    return read_document_table(spark, path)
+
+
+def zipf_file(spark, folder):
+    """The rank list up to rank 1,000, written with its header and read again."""
+    path = work_path(spark, "zipf")
+    write_zipf_csv(zipf(term_frequencies(documents(spark, folder))), path)
+    return read_zipf_csv(spark, path, 1000)
+
+
+def qrels_file(spark, folder):
+    """Judgements by url, written as nested JSON and read again."""
+    path = work_path(spark, "qrels")
+    log = table(spark, folder, "search_queries")
+    write_qrels_json(evaluate.clean_qrels(table(spark, folder, "qrels"), "url").join(log, "qid"), path)
+    nested = spark.read.schema("id INT, query STRING, relevant_urls MAP<STRING,INT>").json(path)
+    return nested.select(F.col("id").alias("qid"), "query", F.explode("relevant_urls").alias("key", "grade"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        index_totals, index_saved, search_many_terms, jsonl_documents, export_metadata, document_table, zipf_file, qrels_file, grade_pool, metrics_domain,
         tokenize_docs, token_positions, term_frequency, stem_vocabulary, postings, doc_frequency, idf_table, docs_table, collection_frequency,
         zipf_top, corpus_stats, ranked_search, ranked_search_batch, match_counts, result_pool, grade_docs, grade_histogram, metrics_per_query,
         metrics_avg, mean_ap, qrels_urls, qrels_coverage, qrels_coverage_summary,
@@ -260,7 +331,27 @@ _METRIC_NAMES = [f"{m}_{k}" for k in (5, 10, 20) for m in ("p", "dcg", "ndcg", "
 _COVER = f"""{_WITH}, ju AS (SELECT qid, url AS key, max(grade) AS grade FROM qrels WHERE qid IS NOT NULL AND url IS NOT NULL AND grade IS NOT NULL GROUP BY ALL),
 cov AS (SELECT qid, count(*) AS relevant, count(d.url) AS covered, round(count(d.url) / count(*), 6) AS coverage FROM ju LEFT JOIN (SELECT DISTINCT url FROM docs) d ON d.url = ju.key GROUP BY qid)"""
 
+_LINE = "strlen(text) >= 50"
+
+
+def _domain_sql() -> str:
+    host = "lower(regexp_extract({}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
+    rows = _METRIC_ROWS.replace("FROM run r LEFT JOIN j", "FROM own r LEFT JOIN j").replace("j.key = r.doc_id", "j.key = r.url")
+    own = f"own AS (SELECT qid, url, row_number() OVER (PARTITION BY qid ORDER BY rank)::INT AS rank FROM run WHERE url <> '' AND {host.format('url')} = '{DOMAIN}')"
+    judged = f"j AS (SELECT qid, url AS key, max(grade) AS grade FROM qrels WHERE qid IS NOT NULL AND url IS NOT NULL AND grade IS NOT NULL AND {host.format('url')} = '{DOMAIN}' GROUP BY ALL)"
+    return rows.replace(_JUDGED, f"{judged}, {own}")
+
+
 SQL = {
+    "index_totals": f"{_WITH}SELECT (SELECT max(doc_id) + 1 FROM docs) AS size, (SELECT count(*) FROM docs) AS documents, (SELECT count(*) FROM post) AS postings, (SELECT count(*) FROM vocab) AS vocabulary",
+    "search_many_terms": f"{_WITH}, s AS ({_sql_scores(1, MANY_TERMS)} UNION ALL {_sql_scores(2, RANKED)}) SELECT qid, doc_id, score FROM s",
+    "jsonl_documents": f"SELECT doc_id, url, title, md5(text) AS text_md5 FROM documents WHERE {_LINE}",
+    "export_metadata": "SELECT doc_id, url, title, source, source_domain, timestamp, length(text)::INT AS text_length FROM documents",
+    "document_table": f"{_WITH}SELECT doc_id, nullif(url, '') AS url, nullif(title, '') AS title FROM docs",
+    "zipf_file": _WITH + "SELECT * FROM (SELECT row_number() OVER (ORDER BY frequency DESC, term)::INT AS rank, frequency, term FROM freq) WHERE rank <= 1000",
+    "qrels_file": "SELECT qid, query, url AS key, max(grade) AS grade FROM qrels JOIN search_queries USING (qid) WHERE url IS NOT NULL AND grade IS NOT NULL GROUP BY ALL",
+    "grade_pool": f"{_BATCH}, {_GRADES} SELECT g.qid, g.doc_id, g.grade FROM graded g JOIN run USING (qid, doc_id)",
+    "metrics_domain": _domain_sql() + f" SELECT qid, {', '.join(_METRIC_NAMES)} FROM per",
     "tokenize_docs": _WITH + "SELECT doc_id, len(t)::INT AS doc_len, md5(array_to_string(t, ' ')) AS tokens_md5 FROM tk",
     "token_positions": _WITH + "SELECT doc_id, unnest(range(len(r)))::INT AS pos, unnest(r) AS token FROM raw",
     "term_frequency": _WITH + "SELECT doc_id, token, count(*)::INT AS n FROM tok GROUP BY ALL",
@@ -295,4 +386,6 @@ SELECT round(avg(ap), 6) AS map FROM ap""",
     "qrels_coverage_summary": _COVER + " SELECT round(avg(coverage), 6) AS macro_coverage, round(sum(covered) / sum(relevant), 6) AS micro_coverage, avg(coverage) < 0.5 AS low FROM cov",
 } | {name: f"{_WITH}SELECT doc_id FROM ({_sql_set(tree(query))}) AS x" for name, query in BOOLEAN.items()}
 
+SQL["index_saved"] = SQL["ranked_search"]
+
 assert not any(holds_without_terms(tree(q)) for q in LOG.values())

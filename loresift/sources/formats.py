@@ -27,12 +27,12 @@ def write_metadata(documents: DataFrame, path: str) -> None:
 
 
 def write_document_table(docs: DataFrame, path: str) -> None:
-    docs.select("doc_id", "url", "title").write.mode("overwrite").csv(path, sep="\t")
+    docs.select("doc_id", "url", "title").write.mode("overwrite").csv(path, sep="\t", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_document_table(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, url, title`` from tab-separated lines; malformed lines are dropped."""
-    return spark.read.schema(schemas.DOCUMENT_TABLE).csv(path, sep="\t", mode="DROPMALFORMED").where(F.col("doc_id").isNotNull())
+    return spark.read.schema(schemas.DOCUMENT_TABLE).csv(path, sep="\t", mode="DROPMALFORMED", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).where(F.col("doc_id").isNotNull())
 
 
 def write_zipf_csv(ranked: DataFrame, path: str, limit: int = 10_000) -> None:

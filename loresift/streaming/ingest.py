@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import signal
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators.store import PageStore
+from ..operators.store import PageStore, latest, needs_update
 from ..session import work_path
 
 
@@ -30,6 +33,25 @@ def ingest_stream(spark: SparkSession, source: str, store: PageStore, checkpoint
     return pages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stop_on_signal(query, signals=(signal.SIGINT, signal.SIGTERM)) -> None:
+    """Stop a query when the process is asked to end. What its batches committed stays; the checkpoint
+    lets the next run go on where this one stopped."""
+    for number in signals:
+        signal.signal(number, lambda *_: query.stop())
+
+
+def ingest_report(spark: SparkSession, source: str, root: str, now: int, max_age_days: int = 30) -> DataFrame:
+    """One row ``crawled, updated, skipped``: how many pages of a source a store would take, by the rules of
+    ``needs_update``, and how many it has already."""
+    fetched = latest(spark.read.schema(schemas.PAGE).parquet(source).where("html IS NOT NULL").select("url", "source_domain", "_id", "timestamp", F.md5("html").alias("hash")))
+    stored = PageStore(spark, root).read()
+    stored = spark.createDataFrame([], schemas.PAGE) if stored is None else stored
+    wanted = needs_update(stored.select("url", "source_domain", "content_hash", "timestamp"), fetched, now, max_age_days)
+    marked = fetched.select("url", "source_domain").join(wanted, ["url", "source_domain"], "left")
+    counts = marked.agg(F.count(F.lit(1)).alias("crawled"), F.count("reason").alias("updated"))
+    return counts.withColumn("skipped", F.col("crawled") - F.col("updated"))
+
+
 def ingest(spark: SparkSession, source: str, root: str | None = None) -> DataFrame:
     """Run the stream to its end and return the stored pages."""
     root = root or work_path(spark, "store")
