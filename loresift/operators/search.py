@@ -23,18 +23,20 @@ def _predicate(node, flag, everything: Column) -> Column:
     return F.lit(False) if found is None else found
 
 
-def matches(index: Index, query: str) -> DataFrame:
-    """``doc_id, url, title, doc_len, tf_0, df_0, tf_1, df_1, ...`` of the matching documents.
+def matches(index: Index, query: str, scored: bool = False) -> DataFrame:
+    """``doc_id, url, title, doc_len, tf_0, tf_1, ...`` of the matching documents, and ``df_0, df_1, ...`` if
+    they are to be scored.
 
     The postings of the query's terms are grouped by document once; the query is a predicate over
     the presence of terms. Only a query that can match without any term starts from all documents.
     """
     terms, node = query_terms(query), tree(query)
     asked = F.col("term").isin(terms) if terms else F.lit(False)
-    # as many rows of the vocabulary as the query has terms
-    hits = index.postings.where(asked).join(F.broadcast(index.vocabulary().where(asked)), "term").groupBy("doc_id")
-    columns = [F.max(F.when(F.col("term") == t, F.col(c))).alias(f"{c}_{k}") for k, t in enumerate(terms) for c in ("tf", "df")]
-    hits = hits.agg(*columns or [F.count(F.lit(1)).alias("none")])
+    hits = index.postings.where(asked)
+    if scored:  # as many rows of the vocabulary as the query has terms
+        hits = hits.join(F.broadcast(index.vocabulary().where(asked)), "term")
+    columns = [F.max(F.when(F.col("term") == t, F.col(c))).alias(f"{c}_{k}") for k, t in enumerate(terms) for c in ("tf", "df")[: 1 + scored]]
+    hits = hits.groupBy("doc_id").agg(*columns or [F.count(F.lit(1)).alias("none")])
     docs = index.docs.join(hits, "doc_id", "left" if holds_without_terms(node) else "inner")
     return docs.where(_predicate(node, lambda t: F.col(f"tf_{terms.index(t)}").isNotNull(), F.col("url") != ""))
 
@@ -51,7 +53,7 @@ def search(index: Index, query: str, limit: int = 100) -> DataFrame:
     weights = [_weight(F.col(f"tf_{k}"), F.col(f"df_{k}"), index.size(), F.lit(t)) for k, t in enumerate(terms)]
     total = reduce(lambda a, b: a + b, weights, F.lit(0.0))
     score = F.when(F.col("doc_len") > 0, total / F.sqrt(F.col("doc_len").cast("double"))).otherwise(total)
-    best = matches(index, query).select("doc_id", "url", "title", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(limit)
+    best = matches(index, query, scored=True).select("doc_id", "url", "title", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(limit)
     return best.select(F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias("rank"), "doc_id", "url", "title", "score")
 
 

@@ -124,6 +124,13 @@ class PageStore:
         commits = self.log.commits()
         return {int(k): v for k, v in json.loads(commits[-1].output).items()} if commits else {}
 
+    def lookup(self, url: str, source_domain: str | None) -> DataFrame | None:
+        """At most one page, from the one bucket that can hold it."""
+        key = F.pmod(F.xxhash64(F.lit(url), F.lit(source_domain).cast("string")), F.lit(self.buckets))
+        bucket = self.spark.range(1).select(key.alias("b")).first().b
+        rows = self._rows([f for b, f in self._folders().items() if b == bucket])
+        return None if rows is None else rows.where((F.col("url") == url) & F.col("source_domain").eqNullSafe(source_domain)).limit(1)
+
     def _rows(self, folders) -> DataFrame | None:
         return self.spark.read.parquet(*folders) if folders else None
 

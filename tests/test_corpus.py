@@ -241,6 +241,7 @@ def test_store_rewrites_only_touched_buckets(spark, tmp_path):
     assert len(before) == 8 and pages.upsert(writes(spark, [("x", "u3", "new", "d", 2)]))
     after = pages._folders()
     assert sum(before[b] != after[b] for b in before) == 1
+    assert [r.html for r in pages.lookup("u3", "d").collect()] == ["new"] and pages.lookup("u3", None).count() == 0
     state = {r.url: r.html for r in pages.read().collect()}
     assert state == {f"u{k}": f"h{k}" for k in range(40)} | {"u3": "new"}
 
