@@ -18,13 +18,15 @@ from pyspark.sql import functions as F
 from ..session import spread, staged
 from .suffix import common_prefixes, maximal_runs, repeated_places
 
-#: White space as Python's str.split sees it (fixed by the problem statement's wording).
-SPACE = "[\\s\\x1c-\\x1f\\x85\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
+#: White space as Python's str.split sees it, but for line breaks and blanks.
+SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
-def comparable(line: Column) -> Column:
-    """A line as it is compared: lower case, single blanks, trimmed, digit runs as ``0``."""
-    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(line), SPACE, " ")), "[0-9]+", "0")
+def comparable(text: Column) -> Column:
+    """A text as its lines are compared, but for blanks around them: lower case, single blanks, digit runs
+    as ``0``. Done for all lines at once, as nothing in it reaches over a line break."""
+    blanks = F.translate(F.lower(text), SPACE, " " * len(SPACE))
+    return F.regexp_replace(F.regexp_replace(blanks, "  +", " "), "[0-9]+", "0")
 
 
 def line_sequences(documents: DataFrame, min_chars: int = 25) -> DataFrame:
@@ -33,8 +35,8 @@ def line_sequences(documents: DataFrame, min_chars: int = 25) -> DataFrame:
     def symbol(line: Column) -> Column:
         return F.when(F.length(line) >= min_chars, F.xxhash64(line))
 
-    lines = F.transform(F.split("text", "\n"), lambda x: symbol(comparable(x)))
     rows = documents.select("doc_id", "source_domain", "text").where(F.col("source_domain").isNotNull() & (F.length("text") > 0))
+    lines = F.transform(F.split(comparable(F.col("text")), "\n"), lambda x: symbol(F.trim(x)))
     return spread(rows).select(F.xxhash64("source_domain").alias("grp"), F.col("doc_id").alias("doc"), lines.alias("symbols"))
 
 
