@@ -129,7 +129,7 @@ class CommitLog:
         """Create the commit file unless another run took its number; False if one did.
 
         The file is complete before it gets its name, and getting the name is one step that fails if
-        the name is taken: a hard link on a local disk, a rename without overwriting elsewhere.
+        the name is taken: a hard link on a disk, a rename without overwriting where there are none.
         """
         staging = self._path(f"{self.root}/_commits/.{uuid.uuid4().hex}")
         stream = self._fs.create(staging)
@@ -141,11 +141,13 @@ class CommitLog:
         if self._fs.getScheme() == "file":
             try:
                 os.link(staging.toUri().getPath(), final.toUri().getPath())
+                self._fs.delete(staging, False)
                 return True
             except FileExistsError:
-                return False
-            finally:
                 self._fs.delete(staging, False)
+                return False
+            except OSError:  # a mounted file system without links
+                pass
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         try:
             context.rename(staging, final, self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0))

@@ -204,6 +204,18 @@ def test_publish_by_rename(spark, tmp_path, monkeypatch):
     assert [c.output for c in log.commits()] == ["a"]
 
 
+def test_publish_without_links(spark, tmp_path, monkeypatch):
+    import os
+
+    def refuse(*_):
+        raise PermissionError("no links here")
+
+    monkeypatch.setattr(os, "link", refuse)
+    log = CommitLog(spark, f"file://{tmp_path}/log")
+    assert [log.publish(Commit(1, 5, "a")), log.publish(Commit(1, 6, "b")), log.publish(Commit(2, 6, "c"))] == [True, False, True]
+    assert [c.output for c in log.commits()] == ["a", "c"]
+
+
 def test_file_times_bound_a_run(spark, tmp_path):
     """A log of parquet files: files that come later belong to the next run, which reads no others."""
     import os
