@@ -1,10 +1,12 @@
 import os
 import random
+from functools import partialmethod
 
 import numpy as np
 import pytest
 
 from loresift.llm import quality as q
+from loresift.llm import ranks
 from loresift.llm.boosting import Trees
 
 PROSE = "The old dam of Vale was closed after the reactor at Harre Point failed, and nobody in the village knows why. It is one of three that were built in those years."
@@ -91,3 +93,60 @@ def test_boosting():
     calibrated = trees.calibrate(x[1000:], y[1000:]).probability(x[1000:])
     assert abs(calibrated.mean() - y[1000:].mean()) < 0.02
     assert Trees().fit(np.zeros((4, 2)), np.zeros(4)).probability(np.zeros((1, 2)))[0] < 0.1
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """Of 4,500 documents, the titles are names of their own and every ninth text is a list."""
+    rows = [(k, f"Vale {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}or", prose(k)[:400] if k % 9 else f"+ lantern {k}\n" * (5 + k % 40)) for k in range(4500)]
+    return spark.createDataFrame(rows, "doc_id long, title string, text string").repartition(6)
+
+
+def test_models_are_fitted_to_all_documents(many):
+    """Bins, trees and letter pairs are those of all rows, though there are more than 4,000."""
+    rows = many.collect()
+    text_model, title_model, pairs = q.fit_models(many)
+    words = [f"^{w}$" for r in rows for w in r.title.lower().split()]
+    total = sum(len(w) - 1 for w in words) + 1000
+    assert pairs[""] == np.log(0.5 / total) and pairs["r$"] == np.log((len(rows) + 0.5) / total)
+    for model, names, vote, x in (
+        (text_model, q.TEXT_FEATURES, q.text_vote, [q.text_statistics(r.text) for r in rows]),
+        (title_model, q.TITLE_FEATURES, q.title_vote, [q.title_statistics(r.title, pairs) for r in rows]),
+    ):
+        y = np.array([vote(dict(zip(names, r, strict=True))) for r in x])
+        whole = Trees().fit(np.array(x)[y >= 0], y[y >= 0])
+        assert all(np.array_equal(a, b) for a, b in zip(model.edges, whole.edges, strict=True)) and model.base == whole.base
+        assert all(np.array_equal(a, b) for t, u in zip(model.trees, whole.trees, strict=True) for a, b in zip(t, u, strict=True))
+
+
+def test_sums_do_not_depend_on_where_they_are_taken(many, monkeypatch):
+    """On the driver, on executors, and added up in several steps: the same trees."""
+    monkeypatch.setattr(Trees, "growth", partialmethod(Trees.growth, rounds=3))
+    pairs = q.pair_model(many)
+    stats = q.statistics(many, pairs)
+    models = [q._models(stats, pairs)]
+    monkeypatch.setattr(q, "PART_ROWS", 1500)
+    models.append(q._models(stats, pairs))
+    monkeypatch.setattr(q, "PARTS", 1)
+    models.append(q._models(stats, pairs))
+    assert len(models[0][0].trees) == 3 and (models[0][0].trees[0][0] >= 0).any()
+    assert str(models[0]) == str(models[1]) == str(models[2])
+
+
+def test_quantiles_of_rows_in_parts():
+    rng = np.random.default_rng(1)
+    x = np.stack([rng.normal(size=5000), rng.integers(0, 3, 5000) / 3, np.zeros(5000), rng.choice([-0.0, 0.0, 1e-300, -1e300], 5000)], axis=1)
+    shares = np.linspace(0, 1, 33)[1:-1]
+    for rows in (1, 2, 7, 5000):
+        search = ranks.Search(x.shape[1], ranks.quantile_ranks(rows, shares))
+        for done in range(ranks.PASSES):
+            known = search.prefixes()
+            search.narrow(sum(ranks.count(part, known, done) for part in np.array_split(x[:rows], 3)))
+        assert np.array_equal(ranks.quantiles(ranks.values(search.prefix), rows, shares).T, np.quantile(x[:rows], shares, axis=0))
+
+
+def test_tables_with_nothing_to_judge(spark):
+    """Null keys and rows without text or title: their rows come out, and the other model is fitted."""
+    rows = [(None, "Vale Tower", None), (1, " ", ""), (1, None, None)]
+    got = q.quality(spark.createDataFrame(rows, "doc_id long, title string, text string")).collect()
+    assert len(got) == 3 and all(r.text_junk is None for r in got) and [r.doc_id for r in got if r.title_junk is not None] == [None]
